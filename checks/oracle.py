@@ -87,7 +87,8 @@ block("std", ("sales", "salesorg"), f"""
 block("agg", ("std",), """
     SELECT IdCalmonthStd, IdStore, StoreName, BenchmarkCategory, sum(RevenueEur) AS TotalRevenueEur,
            sum(GrossProfitEur) AS TotalGrossProfitEur, sum(TransferCostEur) AS TotalTransferCostEur,
-           CAST(sum(SalesPriceEur) AS DOUBLE) / count(SalesPriceEur) AS AvgSalesPriceEur,
+           CAST((2 * CAST(sum(SalesPriceEur) * 10000 AS HUGEINT) + count(SalesPriceEur)) // (2 * count(SalesPriceEur))
+                / 10000 AS DECIMAL(19,4)) AS AvgSalesPriceEur,
            CAST(sum(Quantity) AS BIGINT) AS TotalQuantity
     FROM std GROUP BY ALL""")
 
@@ -225,7 +226,7 @@ block("totals", ("agg",), """
 block("by_store", ("agg",), """
     SELECT IdStore AS store_id, StoreName AS store_name, BenchmarkCategory AS category,
            sum(TotalRevenueEur) AS revenue, CAST(sum(TotalQuantity) AS BIGINT) AS quantity,
-           avg(AvgSalesPriceEur) AS avg_price, sum(TotalGrossProfitEur) AS gross_profit
+           CAST(sum(AvgSalesPriceEur) AS DOUBLE) / count(AvgSalesPriceEur) AS avg_price, sum(TotalGrossProfitEur) AS gross_profit
     FROM agg GROUP BY 1, 2, 3""")
 
 block("ranked", ("totals",), """
@@ -312,8 +313,8 @@ EXPORT_COLUMNS = ("Monat, Filialgruppe, IdStore, BruttogewinnMargeProzent, Betri
 FIGURES = ("period, store_ord, store_id, store_name, margin, "
            + doubles("revenue", "net_profit", "gross_profit", "goods", "personnel", "operating", "procurement",
                      "full_costs"))
-AGG_COLUMNS = ("IdCalmonthStd, IdStore, StoreName, BenchmarkCategory, AvgSalesPriceEur, TotalQuantity, "
-               + doubles("TotalRevenueEur", "TotalGrossProfitEur", "TotalTransferCostEur"))
+AGG_COLUMNS = ("IdCalmonthStd, IdStore, StoreName, BenchmarkCategory, TotalQuantity, "
+               + doubles("AvgSalesPriceEur", "TotalRevenueEur", "TotalGrossProfitEur", "TotalTransferCostEur"))
 EUR = """CASE WHEN {v} >= 1000000 THEN format('{{:.1f}}', {v} / 1000000) || ' Mio €'
               WHEN {v} >= 1000 THEN format('{{:.0f}}', {v} / 1000) || ' Tsd €'
               ELSE format('{{:,.0f}}', {v}) || ' €' END"""
@@ -392,8 +393,8 @@ ORACLE: dict[str, str] = {
     "join_salesorg": sql("sales salesorg", "SELECT ID_STORE AS IdStore, STORE_LOCATION AS StoreName, ID_MATERIAL, "
                          "CAST(RevenueEUR AS DOUBLE) AS RevenueEUR FROM sales JOIN salesorg ON ID_STORE = SALESORG_ID"),
     "join_sales_costs": sql("agg costs_v2", "SELECT a.IdCalmonthStd, a.IdStore, a.StoreName, BenchmarkCategory, "
-                            "AvgSalesPriceEur, TotalQuantity, "
-                            + doubles("TotalRevenueEur", "TotalGrossProfitEur", "TotalTransferCostEur", "TotalCostsEur",
+                            "TotalQuantity, "
+                            + doubles("AvgSalesPriceEur", "TotalRevenueEur", "TotalGrossProfitEur", "TotalTransferCostEur", "TotalCostsEur",
                                       "PersonnelCostsEur", "OperatingCostsEur", "AdditionalProcurementCostsEur")
                             + " FROM agg a JOIN costs_v2 c ON a.IdCalmonthStd = c.IdCalmonthStd AND a.IdStore = c.IdStore"),
     "join_kpi_costs": sql("kpi costs_v2", "SELECT k.IdCalmonthStd, k.IdStore, k.StoreName, "
@@ -433,7 +434,7 @@ ORACLE: dict[str, str] = {
     "category_totals": sql("totals", "SELECT period, category, quantity, CAST(revenue AS DOUBLE) AS revenue FROM totals"),
     "category_by_store_revenue": sql("by_store", "SELECT store_id, store_name, category, CAST(revenue AS DOUBLE) AS revenue FROM by_store"),
     "category_by_store_quantity": sql("by_store", "SELECT store_id, store_name, category, quantity FROM by_store"),
-    "category_by_store_avg_price": sql("by_store", "SELECT store_id, store_name, category, round(avg_price, 6) AS avg_price FROM by_store"),
+    "category_by_store_avg_price": sql("by_store", "SELECT store_id, store_name, category, avg_price FROM by_store"),
     "category_by_store_gross_profit": sql("by_store", "SELECT store_id, store_name, category, CAST(gross_profit AS DOUBLE) AS gross_profit FROM by_store"),
     "cost_structure": sql("kpis", " UNION ALL ".join(
         f"SELECT period, store_id, store_name, '{part}' AS part, CAST({column} AS DOUBLE) AS amount FROM kpis"

@@ -36,6 +36,11 @@ def mean(col: Column) -> Column:
     return F.sum(col).cast("double") / F.nullif(F.count(col), F.lit(0))
 
 
+def money_mean(col: Column) -> Column:
+    """Mean of an amount as an amount of four places, which later means can sum exactly."""
+    return F.round(F.sum(col) / F.nullif(F.count(col), F.lit(0)), 4).cast("decimal(19,4)")
+
+
 def round2(col: Column) -> Column:
     return F.round(col, 2)
 

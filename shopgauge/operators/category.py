@@ -15,7 +15,6 @@ from shopgauge.operators.period import in_period
 
 CATEGORY = "BenchmarkCategory"
 STORE = ("IdStore", "StoreName")
-MEAN_DIGITS = 6
 
 
 def category_totals(agg: DataFrame, period: str = ALL_PERIODS) -> DataFrame:
@@ -30,7 +29,7 @@ def category_totals(agg: DataFrame, period: str = ALL_PERIODS) -> DataFrame:
 
 def category_by_store(agg: DataFrame, column: str, name: str, fn: str = "sum", period: str = ALL_PERIODS) -> DataFrame:
     """One measure per store and category; `fn` is `sum`, or `mean` for a mean of monthly means."""
-    value = F.round(mean(F.col(column)), MEAN_DIGITS) if fn == "mean" else F.sum(column)
+    value = mean(F.col(column)) if fn == "mean" else F.sum(column)
     return (
         in_period(agg, period, "IdCalmonthStd")
         .groupBy(*STORE, CATEGORY)

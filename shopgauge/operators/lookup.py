@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 
 def _substrings(df: DataFrame, text: str, name: str, longest: Column) -> DataFrame:
-    """One row per distinct substring of a text column up to a length, the empty one included."""
+    """Add the substrings of a text column up to a length, the empty one included, row by row."""
     room = F.least(F.length(text) - F.col("start") + 1, F.col("longest"))
     return (
         df.withColumn("longest", longest)
         .withColumn("start", F.explode(F.sequence(F.lit(1), F.length(text) + 1)))
         .withColumn("size", F.explode(F.sequence(F.lit(0), room)))
-        .select(text, F.substring(F.col(text), F.col("start"), F.col("size")).alias(name))
-        .distinct()
+        .withColumn(name, F.substring(F.col(text), F.col("start"), F.col("size")))
     )
 
 
@@ -27,18 +26,17 @@ def match_name(df: DataFrame, registry: DataFrame, column: str, prefix: str) ->
     distinct names are matched by equality instead of comparing every pair, and the result
     is joined back by name. The name column is read twice, once for the distinct names.
     """
-    entries = registry.select("ord", "name", "short", F.lower("name").alias("entry"))
+    entries = registry.select(F.lower("name").alias("entry"), F.struct("ord", "name", "short").alias("hit"))
     names = df.select(F.lower(F.col(column)).alias("given")).where(F.col("given").isNotNull()).distinct()
     longest = entries.agg(F.max(F.length("entry"))).scalar()
 
-    in_given = _substrings(names, "given", "entry", longest)
-    in_entry = _substrings(entries.select("entry"), "entry", "given", F.length("entry"))
-    found = in_given.join(entries, "entry").unionByName(
-        in_entry.join(names, "given", "left_semi").join(entries, "entry")
-    )
+    in_given = _substrings(names, "given", "entry", longest).join(entries, "entry")
+    in_entry = _substrings(entries, "entry", "given", F.length("entry"))
     best = (
-        found.groupBy("given")
-        .agg(F.min(F.struct("ord", "name", "short")).alias("hit"))
+        in_given.select("given", "hit")
+        .unionByName(in_entry.select("given", "hit"))
+        .groupBy("given")
+        .agg(F.min("hit").alias("hit"))
         .select("given", F.col("hit.name").alias(f"{prefix}_name"), F.col("hit.short").alias(f"{prefix}_short"))
     )
     return df.withColumn("given", F.lower(F.col(column))).join(best, "given", "left").drop("given")

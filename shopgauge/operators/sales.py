@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopgauge.config import CategoryRules
-from shopgauge.functions.expressions import classify, gross_profit, mean, month_key, month_start
+from shopgauge.functions.expressions import classify, gross_profit, money_mean, month_key, month_start
 
 MEASURES = ("TotalRevenueEur", "TotalGrossProfitEur")
 
@@ -69,7 +69,7 @@ def sales_agg(lines: DataFrame, stores: DataFrame) -> DataFrame:
         F.sum("RevenueEur").alias("TotalRevenueEur"),
         F.sum("GrossProfitEur").alias("TotalGrossProfitEur"),
         F.sum("TransferCostEur").alias("TotalTransferCostEur"),
-        mean(F.col("SalesPriceEur")).alias("AvgSalesPriceEur"),
+        money_mean(F.col("SalesPriceEur")).alias("AvgSalesPriceEur"),
         F.sum("Quantity").alias("TotalQuantity"),
     )
     return with_store_name(totals, stores).select(
