@@ -14,10 +14,11 @@ from shopgauge.functions import expressions as ex
 from shopgauge.functions import formats as fm
 from shopgauge.operators import category, compare, kpi, location, lookup, period, reports, sales
 from shopgauge.operators.costs import cost_lookup, costs_agg
-from shopgauge.plans.benchmark import Benchmark, Sources
+from shopgauge.plans.benchmark import Benchmark
 from shopgauge.plans.catalog import register_views
 from shopgauge.schemas import as_doubles
 from shopgauge.sources import registry, sink, starschema, tables
+from shopgauge.sources.starschema import StarSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,18 +28,8 @@ MONTH = "1997-03"
 QUERIES: dict[str, Query] = {}
 
 
-def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    return Sources(
-        starschema.sales(spark, sf_dir),
-        starschema.costs(spark, sf_dir),
-        starschema.stores(spark, sf_dir),
-        starschema.locations(spark, sf_dir),
-        starschema.store_registry(spark, sf_dir),
-    )
-
-
 def bench(spark: SparkSession, sf_dir: str, preset: Preset = PRESET) -> Benchmark:
-    return Benchmark(sources(spark, sf_dir), preset)
+    return Benchmark(StarSchema(spark, sf_dir), preset)
 
 
 def query(fn: Query) -> Query:
@@ -81,7 +72,7 @@ def src_registry(spark, sf_dir):
 
 @query
 def views_register(spark, sf_dir):
-    register_views(sources(spark, sf_dir), "v2", PRESET)
+    register_views(StarSchema(spark, sf_dir), "v2", PRESET)
     return spark.table("benchmark_export_monthly")
 
 
@@ -104,7 +95,7 @@ def sink_csv(spark, sf_dir):
 
 @query
 def rows_per_store(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     return sales.rows_per_store(src.sales, src.registry)
 
 
@@ -155,8 +146,7 @@ def store_whitelist(spark, sf_dir):
 
 @query
 def period_filter(spark, sf_dir):
-    src = sources(spark, sf_dir)
-    return period.in_period(Benchmark(src.during(MONTH), PRESET).export_v2, MONTH)
+    return Benchmark(StarSchema(spark, sf_dir), PRESET, MONTH).export_v2
 
 
 @query
@@ -176,7 +166,7 @@ def export_v1(spark, sf_dir):
 
 @query
 def rent(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     return location.monthly_rent(src.locations, src.stores)
 
 
@@ -190,7 +180,7 @@ def min_stores_gate(spark, sf_dir):
 
 @query
 def join_salesorg(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     named = sales.with_store_name(src.sales.withColumnRenamed("ID_STORE", "IdStore"), src.stores)
     return named.select("IdStore", "StoreName", "ID_MATERIAL", "RevenueEUR")
 
@@ -198,34 +188,35 @@ def join_salesorg(spark, sf_dir):
 @query
 def join_sales_costs(spark, sf_dir):
     b = bench(spark, sf_dir)
-    return b.sales_agg.join(b.costs_agg.drop("StoreName"), ["IdCalmonthStd", "IdStore"])
+    sums = sales.category_sums(b.lines, b.sources.stores)
+    return sales.published(sums.join(b.cost_sums.drop("StoreName"), list(kpi.KEYS)))
 
 
 @query
 def join_kpi_costs(spark, sf_dir):
     b = bench(spark, sf_dir)
-    return kpi.kpi_wide(b.store_totals, b.costs_agg).select(
-        "IdCalmonthStd", "IdStore", "StoreName", "NetProfitEur", "AdditionalProcurementCostsEur"
-    )
+    joined = kpi.kpi_wide(b.store_totals, b.cost_sums)
+    columns = ["MonthStart", "IdStore", "StoreName", "NetProfitEur", "AdditionalProcurementCostsEur"]
+    return sales.published(joined.select(columns))
 
 
 @query
 def cost_positions(spark, sf_dir):
     b = bench(spark, sf_dir)
-    keys = b.store_totals.select("IdCalmonthStd", "IdStore", "StoreName")
-    return cost_lookup(keys, b.sources.costs)
+    keys = b.store_totals.select(*kpi.KEYS, "StoreName")
+    return sales.published(cost_lookup(keys, b.sources.costs))
 
 
 @query
 def join_location(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     return location.monthly_rent(src.locations, src.stores).select("ID_STORE", "StoreName", "LOC_SIZE_M2")
 
 
 @query
 def join_store_size(spark, sf_dir):
     b = bench(spark, sf_dir)
-    return location.with_size(b.period_kpis(), b.sources.locations).select("store_id", "store_name", "size_m2")
+    return location.with_size(b.period_kpis, b.sources.locations).select("store_id", "store_name", "size_m2")
 
 
 # ---- aggregations -----------------------------------------------------------------------
@@ -264,12 +255,12 @@ def kpi_v1(spark, sf_dir):
 @query
 def kpi_from_categories(spark, sf_dir):
     b = bench(spark, sf_dir)
-    return kpi.kpi(sales.sum_categories(b.sales_agg), b.costs_agg)
+    return kpi.kpi(sales.sum_categories(sales.category_sums(b.lines, b.sources.stores)), b.cost_sums)
 
 
 @query
 def group_compare(spark, sf_dir):
-    groups = starschema.store_groups(spark, sf_dir)
+    groups = StarSchema(spark, sf_dir).groups
     return kpi.compare_groups(bench(spark, sf_dir, PRESET_OLD).kpi, groups)
 
 
@@ -285,12 +276,12 @@ def waterfall_view(spark, sf_dir):
 
 @query
 def period_kpis(spark, sf_dir):
-    return bench(spark, sf_dir).period_kpis()
+    return bench(spark, sf_dir).period_kpis
 
 
 @query
 def period_kpis_month(spark, sf_dir):
-    return bench(spark, sf_dir).period_kpis(MONTH)
+    return Benchmark(StarSchema(spark, sf_dir), PRESET, MONTH).period_kpis
 
 
 @query
@@ -486,7 +477,7 @@ def round2(spark, sf_dir):
 
 @query
 def isnull_zero(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     areas = src.registry.join(src.locations.withColumnRenamed("ID_STORE", "id"), "id", "left")
     return areas.select("id", ex.or_zero(F.col("LOC_SIZE_M2")).alias("size_m2"))
 
@@ -526,7 +517,7 @@ def trend_band(spark, sf_dir):
 
 @query
 def store_by_name(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     return lookup.match_name(src.costs, src.registry, "StoreName", "store").select(
         "ID_CALMONTH", "WertEUR", "StoreName", "store_name", "store_short"
     )
@@ -534,7 +525,7 @@ def store_by_name(spark, sf_dir):
 
 @query
 def store_by_id(spark, sf_dir):
-    src = sources(spark, sf_dir)
+    src = StarSchema(spark, sf_dir)
     return lookup.with_store(src.sales, src.registry, "ID_STORE").select(
         "ID_STORE", "ID_MATERIAL", "registry_name", "registry_short"
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shopgauge.config import COMMISSION, MARKETING, RENT, CostBuckets
-from shopgauge.functions.expressions import in_bucket, month_key, month_start, or_zero
-from shopgauge.operators.sales import where_stores
+from shopgauge.functions.expressions import in_bucket, month_start, or_zero
+from shopgauge.operators.sales import published, where_stores
 
 BUCKET_COLUMNS = ("PersonnelCostsEur", "OperatingCostsEur", "AdditionalProcurementCostsEur")
 COST_COLUMNS = ("TotalCostsEur", *BUCKET_COLUMNS)
@@ -33,67 +33,58 @@ def _position_sums(positions: dict[str, str], case_sensitive: bool) -> list[Colu
 
 
 def _by_month_store(costs: DataFrame, store_ids) -> DataFrame:
-    return where_stores(costs, store_ids).withColumn("MonthStart", month_start(F.col("ID_CALMONTH")))
+    return where_stores(costs, store_ids).select(
+        month_start(F.col("ID_CALMONTH")).alias("MonthStart"),
+        F.col("ID_STORE").alias("IdStore"),
+        "StoreName",
+        "Kostenkategorie",
+        "WertEUR",
+    )
 
 
-def costs_agg(costs: DataFrame, buckets: CostBuckets, store_ids=None) -> DataFrame:
-    """Per month, store and store name: total and the three buckets.
+def cost_sums(costs: DataFrame, buckets: CostBuckets, store_ids=None) -> DataFrame:
+    """Per month start, store and store name: total and the three buckets.
 
     Rows in no bucket count in the total only.
     """
-    totals = _by_month_store(costs, store_ids).groupBy("MonthStart", "ID_STORE", "StoreName").agg(
+    return _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName").agg(
         F.sum("WertEUR").alias("TotalCostsEur"), *_bucket_sums(buckets)
     )
-    return totals.select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"), F.col("ID_STORE").alias("IdStore"), "StoreName", *COST_COLUMNS
-    )
 
 
-def costs_wide(costs: DataFrame, buckets: CostBuckets, store_ids=None, positions=POSITIONS) -> DataFrame:
-    """`costs_agg` plus single positions, from one scan and one pass of conditional sums.
+def costs_agg(costs: DataFrame, buckets: CostBuckets, store_ids=None) -> DataFrame:
+    """Per month, store and store name: total and the three buckets."""
+    return published(cost_sums(costs, buckets, store_ids))
+
+
+def cost_sums_wide(costs: DataFrame, buckets: CostBuckets, store_ids=None, positions=POSITIONS) -> DataFrame:
+    """`cost_sums` plus single positions, from one scan and one pass of conditional sums.
 
     Positions belong to the month and store whatever spelling the store name has, so they
     are added up over the name; a missing position is 0.
     """
-    totals = _by_month_store(costs, store_ids).groupBy("MonthStart", "ID_STORE", "StoreName").agg(
+    totals = _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName").agg(
         F.sum("WertEUR").alias("TotalCostsEur"),
         *_bucket_sums(buckets),
         *_position_sums(positions, buckets.case_sensitive),
     )
-    month_store = W.partitionBy("IdCalmonthStd", "IdStore")
-    return totals.select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"),
-        F.col("ID_STORE").alias("IdStore"),
-        "StoreName",
-        *COST_COLUMNS,
-        *positions,
-    ).withColumns({name: or_zero(F.sum(name).over(month_store)) for name in positions})
+    month_store = W.partitionBy("MonthStart", "IdStore")
+    return totals.withColumns({name: or_zero(F.sum(name).over(month_store)) for name in positions})
 
 
 def costs_detail(costs: DataFrame, store_ids=None) -> DataFrame:
     """Per month, store, store name and cost category: sum."""
-    totals = _by_month_store(costs, store_ids).groupBy("MonthStart", "ID_STORE", "StoreName", "Kostenkategorie").agg(
-        F.sum("WertEUR").alias("KostenEur")
-    )
-    return totals.select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"),
-        F.col("ID_STORE").alias("IdStore"),
-        "StoreName",
-        "Kostenkategorie",
-        "KostenEur",
-    )
+    sums = _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName", "Kostenkategorie")
+    return published(sums.agg(F.sum("WertEUR").alias("KostenEur")))
 
 
 def cost_lookup(keys: DataFrame, costs: DataFrame, positions=POSITIONS, case_sensitive: bool = False) -> DataFrame:
-    """Add single cost positions to rows keyed by month and store, 0 where there are none.
+    """Add single cost positions to rows keyed by month start and store, 0 where there are none.
 
     One conditional aggregate and one left join stand for a scalar subquery per position.
     """
-    sums = _by_month_store(costs, None).groupBy("MonthStart", "ID_STORE").agg(
+    found = _by_month_store(costs, None).groupBy("MonthStart", "IdStore").agg(
         *_position_sums(positions, case_sensitive)
     )
-    found = sums.select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"), F.col("ID_STORE").alias("IdStore"), *positions
-    )
-    joined = keys.join(found, ["IdCalmonthStd", "IdStore"], "left")
+    joined = keys.join(found, ["MonthStart", "IdStore"], "left")
     return joined.withColumns({name: or_zero(F.col(name)) for name in positions})

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopgauge.functions.expressions import pct, round2
-from shopgauge.operators.costs import COST_COLUMNS, POSITIONS
+from shopgauge.functions.expressions import month_key, pct, round2
+from shopgauge.operators.costs import POSITIONS
+from shopgauge.operators.sales import published
 
 BASE = ("TotalRevenueEur", "TotalGrossProfitEur", "TotalCostsEur", "PersonnelCostsEur", "OperatingCostsEur")
 RATIOS = ("GrossProfitMarginPct", "OperatingCostRatioPct", "PersonnelCostRatioPct", "NetProfitMarginPct")
-KEYS = ("IdCalmonthStd", "IdStore")
+KEYS = ("MonthStart", "IdStore")
 EXPORT_MONEY = ("UmsatzEur", "BruttogewinnEur", "WareneinsatzEur", "GesamtkostenEur", "PersonalkostenEur",
                 "BetriebskostenEur", "BeschaffungskostenEur", "NettogewinnEur")
 EXPORT_PERCENT = {
@@ -33,7 +34,7 @@ def with_ratios(df: DataFrame) -> DataFrame:
 
 
 def kpi_wide(totals: DataFrame, costs: DataFrame) -> DataFrame:
-    """Join store totals with costs on month and store, and derive net profit and ratios.
+    """Join store totals with cost sums on month and store, and derive net profit and ratios.
 
     An inner join: a month with only one side is left out. Both sides are aggregates, so
     neither facts table is shuffled for it. Further cost columns are carried through, which
@@ -55,7 +56,7 @@ def kpi(totals: DataFrame, costs: DataFrame) -> DataFrame:
         F.sum("TotalGrossProfitEur").alias("TotalGrossProfitEur"),
     )
     figures = with_ratios(grouped.withColumn("NetProfitEur", F.col("TotalGrossProfitEur") - F.col("TotalCostsEur")))
-    return figures.select(*KEYS, "StoreName", *BASE, "NetProfitEur", *RATIOS)
+    return published(figures.select(*KEYS, "StoreName", *BASE, "NetProfitEur", *RATIOS))
 
 
 def compare_groups(kpis: DataFrame, groups: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def export_v2(kpis: DataFrame) -> DataFrame:
         goods + F.col("OperatingCostsEur") + F.col("PersonnelCostsEur") + F.col("AdditionalProcurementCostsEur")
     )
     return kpis.select(
-        F.col("IdCalmonthStd").alias("Monat"),
+        month_key(F.col("MonthStart")).alias("Monat"),
         F.col("StoreName").alias("Filialgruppe"),
         "IdStore",
         _money2("TotalRevenueEur", "UmsatzEur"),
@@ -143,7 +144,7 @@ def waterfall_view(kpis: DataFrame) -> DataFrame:
     Personnel may already include commission, which is also shown on its own: do not add up
     the bars; `profit_bridge` has steps that can be added.
     """
-    return kpis.select(
+    return published(kpis.select(
         *KEYS,
         "StoreName",
         F.col("TotalRevenueEur").alias("UmsatzEur"),
@@ -153,4 +154,4 @@ def waterfall_view(kpis: DataFrame) -> DataFrame:
         *POSITIONS,
         F.col("AdditionalProcurementCostsEur").alias("BeschaffungskostenEur"),
         F.col("NetProfitEur").alias("NettogewinnEur"),
-    )
+    ))

@@ -71,10 +71,15 @@ def _finish(sums: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+def store_figures(export: DataFrame, registry: DataFrame, period: str) -> DataFrame:
+    """Figures per registered store over an export that holds just the period."""
+    sums = export.groupBy("IdStore").agg(*_figures())
+    return _finish(sums.withColumn("period", F.lit(period)), registry)
+
+
 def period_kpis(export: DataFrame, registry: DataFrame, period: str = ALL_PERIODS) -> DataFrame:
     """Figures per registered store over one month or over all months."""
-    sums = in_period(export, period).groupBy("IdStore").agg(*_figures())
-    return _finish(sums.withColumn("period", F.lit(period)), registry)
+    return store_figures(in_period(export, period), registry, period)
 
 
 def period_kpis_all(export: DataFrame, registry: DataFrame) -> DataFrame:

@@ -42,10 +42,19 @@ def with_store_name(df: DataFrame, stores: DataFrame) -> DataFrame:
     return df.join(master, "IdStore")
 
 
+def published(df: DataFrame) -> DataFrame:
+    """Replace the month start by its key `YYYY-MM`, as the first column.
+
+    Done last: a join or filter on the formatted key would be pushed down to every fact row.
+    """
+    rest = [c for c in df.columns if c != "MonthStart"]
+    return df.select(month_key(F.col("MonthStart")).alias("IdCalmonthStd"), *rest)
+
+
 def sales_std(lines: DataFrame, stores: DataFrame) -> DataFrame:
     """Standardised sales lines, one row per line."""
-    return with_store_name(lines, stores).select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"),
+    named = with_store_name(lines, stores).select(
+        "MonthStart",
         "IdStore",
         "StoreName",
         "IdMaterial",
@@ -57,10 +66,11 @@ def sales_std(lines: DataFrame, stores: DataFrame) -> DataFrame:
         "SalesPriceEur",
         "Quantity",
     )
+    return published(named)
 
 
-def sales_agg(lines: DataFrame, stores: DataFrame) -> DataFrame:
-    """Totals per month, store and category.
+def category_sums(lines: DataFrame, stores: DataFrame) -> DataFrame:
+    """Totals per month start, store and category.
 
     Lines are aggregated before the store master is joined, so the fact side is shuffled
     once, as partial sums, however large the master is and however hot a store.
@@ -73,7 +83,7 @@ def sales_agg(lines: DataFrame, stores: DataFrame) -> DataFrame:
         F.sum("Quantity").alias("TotalQuantity"),
     )
     return with_store_name(totals, stores).select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"),
+        "MonthStart",
         "IdStore",
         "StoreName",
         "BenchmarkCategory",
@@ -85,26 +95,27 @@ def sales_agg(lines: DataFrame, stores: DataFrame) -> DataFrame:
     )
 
 
+def sales_agg(lines: DataFrame, stores: DataFrame) -> DataFrame:
+    """Totals per month, store and category."""
+    return published(category_sums(lines, stores))
+
+
 def store_totals(lines: DataFrame, stores: DataFrame) -> DataFrame:
-    """Revenue and gross profit per month and store.
+    """Revenue and gross profit per month start and store.
 
-    Equals `sales_agg` summed over its categories, but needs no category, so neither the
+    Equals `category_sums` summed over the categories, but needs no category, so neither the
     rules nor the descriptions are evaluated when only store figures are asked for.
     """
     totals = lines.groupBy("MonthStart", "IdStore").agg(
         F.sum("RevenueEur").alias("TotalRevenueEur"),
         F.sum("GrossProfitEur").alias("TotalGrossProfitEur"),
     )
-    return with_store_name(totals, stores).select(
-        month_key(F.col("MonthStart")).alias("IdCalmonthStd"), "IdStore", "StoreName", *MEASURES
-    )
+    return with_store_name(totals, stores).select("MonthStart", "IdStore", "StoreName", *MEASURES)
 
 
-def sum_categories(agg: DataFrame) -> DataFrame:
-    """`store_totals` from category totals that are already there."""
-    return agg.groupBy("IdCalmonthStd", "IdStore", "StoreName").agg(
-        *[F.sum(m).alias(m) for m in MEASURES]
-    )
+def sum_categories(sums: DataFrame) -> DataFrame:
+    """`store_totals` from category sums that are already there."""
+    return sums.groupBy("MonthStart", "IdStore", "StoreName").agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
 def rows_per_store(sales: DataFrame, store_ids) -> DataFrame:

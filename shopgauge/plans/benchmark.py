@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from functools import cached_property
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 
@@ -11,9 +11,8 @@ from shopgauge.config import ALL_PERIODS, MEMBER_STORES, PRESET_V2, SINGLE_STORE
 from shopgauge.operators import category, costs as cost_ops, kpi as kpi_ops, period as period_ops, sales as sales_ops
 
 
-@dataclass(frozen=True)
-class Sources:
-    """The four source tables and the store registry."""
+class Sources(Protocol):
+    """The four source tables and the store registry, each a DataFrame."""
 
     sales: DataFrame
     costs: DataFrame
@@ -21,25 +20,26 @@ class Sources:
     locations: DataFrame
     registry: DataFrame
 
-    def during(self, period: str) -> Sources:
-        """The facts of one month, filtered at the scan."""
-        return replace(
-            self,
-            sales=period_ops.source_period(self.sales, period),
-            costs=period_ops.source_period(self.costs, period),
-        )
-
 
 class Benchmark:
-    """Lazy layers over the sources; each attribute is a DataFrame, nothing runs until it is used."""
+    """Lazy layers over the sources; each attribute is a DataFrame, nothing runs until it is used.
+
+    With a `period` only the facts of that month are read, by a range filter at the scan.
+    """
 
-    def __init__(self, sources: Sources, preset: Preset = PRESET_V2):
+    def __init__(self, sources: Sources, preset: Preset = PRESET_V2, period: str = ALL_PERIODS):
         self.sources = sources
         self.preset = preset
+        self.period = period
+
+    @cached_property
+    def _costs(self) -> DataFrame:
+        return period_ops.source_period(self.sources.costs, self.period)
 
     @cached_property
     def lines(self) -> DataFrame:
-        return sales_ops.sales_lines(self.sources.sales, self.preset.rules, self.preset.store_ids)
+        sales = period_ops.source_period(self.sources.sales, self.period)
+        return sales_ops.sales_lines(sales, self.preset.rules, self.preset.store_ids)
 
     @cached_property
     def sales_std(self) -> DataFrame:
@@ -55,19 +55,23 @@ class Benchmark:
 
     @cached_property
     def costs_agg(self) -> DataFrame:
-        return cost_ops.costs_agg(self.sources.costs, self.preset.buckets, self.preset.store_ids)
+        return cost_ops.costs_agg(self._costs, self.preset.buckets, self.preset.store_ids)
 
     @cached_property
-    def costs_wide(self) -> DataFrame:
-        return cost_ops.costs_wide(self.sources.costs, self.preset.buckets, self.preset.store_ids)
+    def cost_sums(self) -> DataFrame:
+        return cost_ops.cost_sums(self._costs, self.preset.buckets, self.preset.store_ids)
+
+    @cached_property
+    def cost_sums_wide(self) -> DataFrame:
+        return cost_ops.cost_sums_wide(self._costs, self.preset.buckets, self.preset.store_ids)
 
     @cached_property
     def costs_detail(self) -> DataFrame:
-        return cost_ops.costs_detail(self.sources.costs, self.preset.store_ids)
+        return cost_ops.costs_detail(self._costs, self.preset.store_ids)
 
     @cached_property
     def kpi(self) -> DataFrame:
-        return kpi_ops.kpi(self.store_totals, self.costs_agg)
+        return kpi_ops.kpi(self.store_totals, self.cost_sums)
 
     def store_comparison(self, single=SINGLE_STORE, members=MEMBER_STORES) -> DataFrame:
         return kpi_ops.store_comparison(self.kpi, single, members)
@@ -77,21 +81,22 @@ class Benchmark:
 
     @cached_property
     def export_v2(self) -> DataFrame:
-        return kpi_ops.export_v2(kpi_ops.kpi_wide(self.store_totals, self.costs_agg))
+        return kpi_ops.export_v2(kpi_ops.kpi_wide(self.store_totals, self.cost_sums))
 
     @cached_property
     def waterfall(self) -> DataFrame:
-        return kpi_ops.waterfall_view(kpi_ops.kpi_wide(self.store_totals, self.costs_wide))
+        return kpi_ops.waterfall_view(kpi_ops.kpi_wide(self.store_totals, self.cost_sums_wide))
 
-    def period_kpis(self, period: str = ALL_PERIODS) -> DataFrame:
-        """Store figures of a period; a month is read alone, not filtered from all of them."""
-        of_period = Benchmark(self.sources.during(period), self.preset)
-        return period_ops.period_kpis(of_period.export_v2, self.sources.registry, period)
+    @cached_property
+    def period_kpis(self) -> DataFrame:
+        """Store figures over the period of this benchmark."""
+        return period_ops.store_figures(self.export_v2, self.sources.registry, self.period)
 
     @cached_property
     def period_kpis_all(self) -> DataFrame:
+        """Store figures for each month and for all of them."""
         return period_ops.period_kpis_all(self.export_v2, self.sources.registry)
 
     @cached_property
     def category_totals(self) -> DataFrame:
-        return category.category_totals(self.sales_agg)
+        return category.category_totals(self.sales_agg, self.period)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import cached_property
 from pathlib import Path
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
-from shopgauge import schemas
+from shopgauge import config, schemas
+from shopgauge.sources.registry import store_registry
 
 SALES_TABLE = "V_LIST_MONTHLY_SALES"
 COSTS_TABLE = "V_LIST_MONTHLY_COSTS"
@@ -79,3 +81,32 @@ def load_stores(spark: SparkSession, source) -> DataFrame:
 
 def load_locations(spark: SparkSession, source) -> DataFrame:
     return schemas.conform(read_table(spark, LOCATION_TABLE, source), schemas.LOCATION)
+
+
+class SourceTables:
+    """The sources of a comparison from one database or folder, with the configured stores."""
+
+    def __init__(self, spark: SparkSession, source: Mapping | str | Path, stores=config.STORES):
+        self._spark = spark
+        self._source = load_settings(source)
+        self._stores = stores
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        return load_sales(self._spark, self._source)
+
+    @cached_property
+    def costs(self) -> DataFrame:
+        return load_costs(self._spark, self._source)
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        return load_stores(self._spark, self._source)
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        return load_locations(self._spark, self._source)
+
+    @cached_property
+    def registry(self) -> DataFrame:
+        return store_registry(self._spark, self._stores)
