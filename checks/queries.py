@@ -535,7 +535,8 @@ def store_by_id(spark, sf_dir):
 def category_lookup(spark, sf_dir):
     categories = registry.category_registry(spark, starschema.CATEGORIES)
     agg = bench(spark, sf_dir).sales_agg.select("IdCalmonthStd", "IdStore", "BenchmarkCategory", "TotalQuantity")
-    return lookup.match_name(agg, categories, "BenchmarkCategory", "category")
+    names = registry.category_names(spark, starschema.RULES)
+    return lookup.match_name(agg, categories, "BenchmarkCategory", "category", names)
 
 
 @query

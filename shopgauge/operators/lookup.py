@@ -17,17 +17,21 @@ def _substrings(df: DataFrame, text: str, name: str, longest: Column) -> DataFra
     )
 
 
-def match_name(df: DataFrame, registry: DataFrame, column: str, prefix: str) -> DataFrame:
+def match_name(
+    df: DataFrame, registry: DataFrame, column: str, prefix: str, names: DataFrame | None = None
+) -> DataFrame:
     """Find, for each name, the first registry entry whose name contains it or is contained in it.
 
     Case is ignored. Adds `{prefix}_name` and `{prefix}_short`, NULL without a match.
 
     One text contains another exactly when the other equals one of its substrings, so the
     distinct names are matched by equality instead of comparing every pair, and the result
-    is joined back by name. The name column is read twice, once for the distinct names.
+    is joined back by name. The distinct names come from `df`, which is read once more for
+    them, or from `names`, any table whose first column holds every name that can occur.
     """
     entries = registry.select(F.lower("name").alias("entry"), F.struct("ord", "name", "short").alias("hit"))
-    names = df.select(F.lower(F.col(column)).alias("given")).where(F.col("given").isNotNull()).distinct()
+    known = df.select(column) if names is None else names
+    names = known.select(F.lower(known[known.columns[0]]).alias("given")).where("given IS NOT NULL").distinct()
     longest = entries.agg(F.max(F.length("entry"))).scalar()
 
     in_given = _substrings(names, "given", "entry", longest).join(entries, "entry")

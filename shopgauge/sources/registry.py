@@ -16,6 +16,12 @@ def category_registry(spark: SparkSession, categories=config.CATEGORIES) -> Data
     return spark.createDataFrame([(i, *row) for i, row in enumerate(categories)], schemas.CATEGORY_REGISTRY)
 
 
+def category_names(spark: SparkSession, rules: config.CategoryRules) -> DataFrame:
+    """Every category a rule table can give."""
+    names = dict.fromkeys([name for name, _ in rules.classes] + [rules.fallback])
+    return spark.createDataFrame([(name,) for name in names], "name string")
+
+
 def store_groups(spark: SparkSession, groups=config.STORE_GROUPS) -> DataFrame:
     return spark.createDataFrame(list(groups), schemas.STORE_GROUPS)
 
