@@ -400,7 +400,7 @@ ORACLE: dict[str, str] = {
     "join_kpi_costs": sql("kpi costs_v2", "SELECT k.IdCalmonthStd, k.IdStore, k.StoreName, "
                           + doubles("NetProfitEur", "AdditionalProcurementCostsEur")
                           + " FROM kpi k JOIN costs_v2 c ON k.IdCalmonthStd = c.IdCalmonthStd AND k.IdStore = c.IdStore"),
-    "cost_positions": sql("std costs", f"""SELECT IdCalmonthStd, IdStore, StoreName,
+    "cost_lookup": sql("std costs", f"""SELECT IdCalmonthStd, IdStore, StoreName,
         {doubles('MieteEur', 'MarketingEur', 'KommissionEur')} FROM (
         SELECT d.*, {positions('d.IdCalmonthStd', 'd.IdStore')}
         FROM (SELECT DISTINCT IdCalmonthStd, IdStore, StoreName FROM std) d)"""),

@@ -13,7 +13,7 @@ from shopgauge.config import Preset
 from shopgauge.functions import expressions as ex
 from shopgauge.functions import formats as fm
 from shopgauge.operators import category, compare, kpi, location, lookup, period, reports, sales
-from shopgauge.operators.costs import cost_lookup, costs_agg
+from shopgauge.operators import costs as cost_ops
 from shopgauge.plans.benchmark import Benchmark
 from shopgauge.plans.catalog import register_views
 from shopgauge.schemas import as_doubles
@@ -188,7 +188,7 @@ def join_salesorg(spark, sf_dir):
 @query
 def join_sales_costs(spark, sf_dir):
     b = bench(spark, sf_dir)
-    sums = sales.category_sums(b.lines, b.sources.stores)
+    sums = b.category_sums
     return sales.published(sums.join(b.cost_sums.drop("StoreName"), list(kpi.KEYS)))
 
 
@@ -201,10 +201,10 @@ def join_kpi_costs(spark, sf_dir):
 
 
 @query
-def cost_positions(spark, sf_dir):
+def cost_lookup(spark, sf_dir):
     b = bench(spark, sf_dir)
     keys = b.store_totals.select(*kpi.KEYS, "StoreName")
-    return sales.published(cost_lookup(keys, b.sources.costs))
+    return sales.published(cost_ops.cost_lookup(keys, b.sources.costs))
 
 
 @query
@@ -229,12 +229,12 @@ def sales_agg(spark, sf_dir):
 
 @query
 def costs_agg_v1(spark, sf_dir):
-    return costs_agg(starschema.costs(spark, sf_dir), config.BUCKETS_V1)
+    return cost_ops.costs_agg(starschema.costs(spark, sf_dir), config.BUCKETS_V1)
 
 
 @query
 def costs_agg_v2(spark, sf_dir):
-    return costs_agg(starschema.costs(spark, sf_dir), config.BUCKETS_V2)
+    return cost_ops.costs_agg(starschema.costs(spark, sf_dir), config.BUCKETS_V2)
 
 
 @query
@@ -255,7 +255,7 @@ def kpi_v1(spark, sf_dir):
 @query
 def kpi_from_categories(spark, sf_dir):
     b = bench(spark, sf_dir)
-    return kpi.kpi(sales.sum_categories(sales.category_sums(b.lines, b.sources.stores)), b.cost_sums)
+    return kpi.kpi(sales.sum_categories(b.category_sums), b.cost_sums)
 
 
 @query

@@ -45,18 +45,18 @@ class Benchmark:
     def sales_std(self) -> DataFrame:
         return sales_ops.sales_std(self.lines, self.sources.stores)
 
+    @cached_property
+    def category_sums(self) -> DataFrame:
+        return sales_ops.category_sums(self.lines, self.sources.stores)
+
     @cached_property
     def sales_agg(self) -> DataFrame:
-        return sales_ops.sales_agg(self.lines, self.sources.stores)
+        return sales_ops.published(self.category_sums)
 
     @cached_property
     def store_totals(self) -> DataFrame:
         return sales_ops.store_totals(self.lines, self.sources.stores)
 
-    @cached_property
-    def costs_agg(self) -> DataFrame:
-        return cost_ops.costs_agg(self._costs, self.preset.buckets, self.preset.store_ids)
-
     @cached_property
     def cost_sums(self) -> DataFrame:
         return cost_ops.cost_sums(self._costs, self.preset.buckets, self.preset.store_ids)
@@ -65,6 +65,10 @@ class Benchmark:
     def cost_sums_wide(self) -> DataFrame:
         return cost_ops.cost_sums_wide(self._costs, self.preset.buckets, self.preset.store_ids)
 
+    @cached_property
+    def costs_agg(self) -> DataFrame:
+        return sales_ops.published(self.cost_sums)
+
     @cached_property
     def costs_detail(self) -> DataFrame:
         return cost_ops.costs_detail(self._costs, self.preset.store_ids)
@@ -100,3 +104,20 @@ class Benchmark:
     @cached_property
     def category_totals(self) -> DataFrame:
         return category.category_totals(self.sales_agg, self.period)
+
+    def stored(self, folder: str) -> Benchmark:
+        """Write the monthly sums to a shared folder and go on from there.
+
+        The facts are then scanned once for any number of figures, instead of once per
+        figure. The sums have a row per month, store and category, whatever the facts hold,
+        and, being files, they outlive lost executors.
+        """
+        copy = Benchmark(self.sources, self.preset, self.period)
+        for name in ("category_sums", "cost_sums_wide", "costs_detail"):
+            frame = getattr(self, name)
+            path = f"{folder.rstrip('/')}/{name}"
+            frame.write.mode("overwrite").parquet(path)
+            setattr(copy, name, frame.sparkSession.read.schema(frame.schema).parquet(path))
+        copy.store_totals = sales_ops.sum_categories(copy.category_sums)
+        copy.cost_sums = copy.cost_sums_wide.drop(*cost_ops.POSITIONS)
+        return copy

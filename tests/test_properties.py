@@ -60,3 +60,16 @@ def test_each_period_has_one_winner(spark):
     ranking = QUERIES["profit_ranking"](spark, SF_DIR)
     assert ranking.where("rank = 1").groupBy("period").count().where("count <> 1").count() == 0
     assert ranking.where("rank = 1 AND lead < 0").count() == 0
+
+
+def test_stored_sums_give_the_same_figures(spark, b, tmp_path):
+    stored = b.stored(str(tmp_path))
+    for name in ("sales_agg", "costs_agg", "costs_detail", "kpi", "export_v2", "waterfall", "period_kpis_all"):
+        assert sorted(map(str, getattr(stored, name).collect())) == sorted(map(str, getattr(b, name).collect())), name
+
+
+def test_stored_sums_leave_the_facts_alone(b, tmp_path):
+    from tests.test_plans import plan
+
+    text = plan(b.stored(str(tmp_path)).export_v2)
+    assert "lineitem" not in text and "orders" not in text
