@@ -8,10 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a new temporary one only in a local session."""
+    """A folder of this application in the one the cluster names; a temporary one only in a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="shopgauge-")
     raise ValueError("spark.checkpoint.dir is not set")
