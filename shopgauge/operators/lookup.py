@@ -43,7 +43,8 @@ def match_name(
         .agg(F.min("hit").alias("hit"))
         .select("given", F.col("hit.name").alias(f"{prefix}_name"), F.col("hit.short").alias(f"{prefix}_short"))
     )
-    return df.withColumn("given", F.lower(F.col(column))).join(best, "given", "left").drop("given")
+    key = f"{prefix}_key"
+    return df.withColumn(key, F.lower(column)).join(best.withColumnRenamed("given", key), key, "left").drop(key)
 
 
 def with_store(df: DataFrame, registry: DataFrame, column: str = "IdStore") -> DataFrame:

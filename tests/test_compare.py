@@ -235,3 +235,10 @@ def test_reports(v2):
     ratios = keyed(reports.avg_ratios(v2.export_v2), "Filialgruppe")
     assert ratios["Freiburg im Breisgau"]["DurchschnittPersonalkostenAnteil"] == pytest.approx((69.57 + 100) / 2)
     assert ratios["Karlsruhe"]["DurchschnittBetriebskostenQuote"] == pytest.approx(11.11)
+
+
+def test_reports_on_groups(v1):
+    ratios = keyed(reports.avg_ratios(v1.export_v1()), "Filialgruppe")
+    assert ratios["Freiburg/Karlsruhe"]["DurchschnittPersonalkostenAnteil"] == pytest.approx((59.26 + 80) / 2)
+    first = reports.profitability_report(v1.export_v1()).first()
+    assert (first.Monat, first.Filialgruppe) == ("2024-10", "Freiburg/Karlsruhe")

@@ -68,3 +68,9 @@ def test_store_by_id(spark):
     frame = spark.createDataFrame([(14,), (99,)], "IdStore int")
     got = {r.IdStore: r.registry_short for r in lookup.with_store(frame, store_registry(spark)).collect()}
     assert got == {14: "ROS", 99: None}
+
+
+def test_columns_of_the_input_stay(spark):
+    frame = spark.createDataFrame([("Ulm", 1, 2, 3)], "name string, given int, entry int, hit int")
+    got = lookup.match_name(frame, store_registry(spark), "name", "store")
+    assert got.drop("store_name", "store_short").first() == frame.first()

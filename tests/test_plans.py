@@ -114,3 +114,40 @@ def test_store_comparison_reads_the_figures_once(v1):
     assert text.count("Union") == 0
     assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") == plan(
         kpi_ops.kpi(v1.store_totals, v1.cost_sums), "simple").count("Join [")
+
+
+def test_a_hot_supplier_is_split(spark, tmp_path):
+    """With every dimension too big to broadcast, a key with half of the lines is spread over tasks."""
+    from pathlib import Path
+
+    from shopgauge.operators.sales import category_sums, sales_lines
+    from shopgauge.sources import starschema
+
+    for name in ("supplier", "part", "nation"):
+        Path(tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.01/{name}.parquet")
+    lines = starschema.table(spark, "/root/testdata/sf0.01", "lineitem")
+    hot = lines.withColumn("l_suppkey", F.expr("CASE WHEN l_linenumber <= 4 THEN 1 ELSE l_suppkey END"))
+    hot.repartition(8).write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    def sums():
+        tables = starschema.StarSchema(spark, str(tmp_path))
+        return category_sums(sales_lines(tables.sales, starschema.RULES), tables.stores)
+
+    expected = sorted(map(str, sums().collect()))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        split = sums()
+        assert sorted(map(str, split.collect())) == expected
+        assert "skew=true" in plan(split, "simple")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
