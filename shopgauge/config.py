@@ -5,7 +5,7 @@ Everything here is plain driver-side data of fixed size; no value depends on the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 ALL_PERIODS = "all"
 
@@ -42,7 +42,6 @@ class Preset:
     rules: CategoryRules
     buckets: CostBuckets
     store_ids: tuple[int, ...] | None = None
-    groups: tuple[tuple[int, str], ...] = field(default=())
 
 
 # ---- Fixed values: product category rules -------------------------------------------------
@@ -148,5 +147,5 @@ TEXT_REVENUE_LEADER = "%s liegt %s%% über dem Durchschnitt"
 TEXT_MARGIN_LEADER = "%s mit %s%% Nettomarge"
 TEXT_RECOMMENDATION = "Best Practices aus %s auf andere Filialen übertragen"
 
-PRESET_V1 = Preset(RULES_V1, BUCKETS_V1, STORE_IDS, STORE_GROUPS)
+PRESET_V1 = Preset(RULES_V1, BUCKETS_V1, STORE_IDS)
 PRESET_V2 = Preset(RULES_V2, BUCKETS_V2, STORE_IDS)

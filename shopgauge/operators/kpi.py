@@ -12,8 +12,6 @@ from shopgauge.operators.sales import published
 BASE = ("TotalRevenueEur", "TotalGrossProfitEur", "TotalCostsEur", "PersonnelCostsEur", "OperatingCostsEur")
 RATIOS = ("GrossProfitMarginPct", "OperatingCostRatioPct", "PersonnelCostRatioPct", "NetProfitMarginPct")
 KEYS = ("MonthStart", "IdStore")
-EXPORT_MONEY = ("UmsatzEur", "BruttogewinnEur", "WareneinsatzEur", "GesamtkostenEur", "PersonalkostenEur",
-                "BetriebskostenEur", "BeschaffungskostenEur", "NettogewinnEur")
 EXPORT_PERCENT = {
     "BruttogewinnMargeProzent": "GrossProfitMarginPct",
     "BetriebskostenQuoteProzent": "OperatingCostRatioPct",
