@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopgauge.llm import exactdup, hilbert, mixing
+from shopgauge.llm import exactdup, hilbert, mixing, neardup, quality, toxicity
 from shopgauge.llm.shared import shared_folder
 
 
@@ -14,6 +14,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir)).drop("name")
+
+
 def op4_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(documents(spark, sf_dir))
 
@@ -22,12 +30,25 @@ def op5_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.deduplicate(documents(spark, sf_dir), exactdup.DigestIndex(spark, shared_folder(spark)))
 
 
+def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
+def op9_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash": op3_minhash,
     "op4_fair_queue": op4_fair_queue,
     "op5_digest_index": op5_digest_index,
+    "op7_ftrl": op7_ftrl,
     "op8_hilbert": op8_hilbert,
+    "op9_subword": op9_subword,
 }
