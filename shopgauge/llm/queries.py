@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopgauge.llm import exactdup, hilbert, mixing, neardup, quality, toxicity
+from shopgauge.llm import decontaminate, exactdup, hilbert, mixing, neardup, quality, toxicity
 from shopgauge.llm.shared import shared_folder
 
 
@@ -18,6 +18,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir)).drop("name")
 
@@ -44,6 +48,11 @@ def op9_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels(spark, sf_dir)))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item that it holds: the clean documents have none."""
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_fair_queue": op4_fair_queue,
@@ -51,4 +60,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ftrl": op7_ftrl,
     "op8_hilbert": op8_hilbert,
     "op9_subword": op9_subword,
+    "op10_simhash": op10_simhash,
 }
