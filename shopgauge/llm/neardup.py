@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one node from the start. In each bucket of equal band values one member is
 compared with all others, which joins large groups without forming their pairs; members of a bucket that are then
-still in different components are compared pair by pair inside tasks, in blocks, so no link is lost.
+still in different components are compared inside tasks, block by block, until links join all that are linked.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from shopgauge.llm.graph import components
 from shopgauge.llm.shared import stored, whole_text
@@ -156,54 +157,104 @@ def buckets_of(sets: DataFrame, s: Settings) -> DataFrame:
     return rows.join(many, "bucket").select("bucket", "n", "head", "name")
 
 
-def rest_pairs(rest: DataFrame, s: Settings) -> DataFrame:
-    """Pairs in one bucket (rows: bucket, n, name, root, signature) with different roots that the sequential test keeps.
-
-    Large buckets are compared block by block; a pair is reported by the first band that it shares only.
-    """
+def blocks_of(rest: DataFrame, s: Settings) -> DataFrame:
+    """The rows of large buckets once for every pair of blocks i <= j that holds them; own: the row's block."""
     blocks = F.ceil(F.col("n") / s.block).cast("int")
     mine = F.pmod(F.xxhash64("name"), blocks).cast("int")
-    other = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own"))))
-    rows = rest.withColumn("at", other).select("bucket", "at.i", "at.j", "at.own", "name", "root", "signature")
-    least = least_matches(s)
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
+    return rest.withColumn("at", F.explode(pair)).select("bucket", "at.i", "at.j", "at.own", "name", "root")
 
-    def compare(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint32).reshape(len(rows), -1)
-        roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)[1]
-        own = np.array([r["own"] for r in rows])
-        lone = rows[0]["i"] == rows[0]["j"]
-        band = None
-        for x in range(len(rows)):
-            later = np.arange(x + 1, len(rows)) if lone else np.flatnonzero(own == rows[0]["j"]) if own[x] == rows[0]["i"] else np.zeros(0, int)
-            alive = later[roots[later] != roots[x]]
-            matches = np.zeros(len(alive), int)
-            for n, m in least.items():
-                matches += (sig[alive, n - s.step : n] == sig[x, n - s.step : n]).sum(axis=1)
-                alive, matches = alive[matches >= m], matches[matches >= m]
-            if len(alive):
-                if band is None:  # those that all rows of the bucket share
-                    grouped = sig.reshape(len(rows), s.bands, s.rows)
-                    band = np.flatnonzero((grouped == grouped[:1]).all(axis=(0, 2)))
-                    band = band[0] if len(band) else 0
-                same = (sig[alive].reshape(-1, s.bands, s.rows) == sig[x].reshape(s.bands, s.rows)).all(axis=2)
-                for y in alive[same.argmax(axis=1) >= band]:
-                    yield tuple(sorted((rows[x]["name"], rows[y]["name"])))
+
+def likely(rows: list[dict], s: Settings) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of a block pair with different roots that the sequential test keeps.
+
+    A pair that shares several bands is left to the first, as far as the rows tell which band theirs is.
+    """
+    least = least_matches(s)
+    sig = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint32).reshape(len(rows), -1)
+    banded = sig.reshape(len(rows), s.bands, s.rows)
+    shared = np.flatnonzero((banded == banded[:1]).all(axis=(0, 2)))
+    band = shared[0] if len(shared) else 0
+    roots = np.unique([r["root"].hex() for r in rows], return_inverse=True)[1]
+    own = np.array([r["own"] for r in rows])
+    i, j = rows[0]["i"], rows[0]["j"]
+    for x in range(len(rows)):
+        if i == j:
+            alive = np.arange(x + 1, len(rows))
+        else:
+            alive = np.flatnonzero(own == j) if own[x] == i else np.zeros(0, int)
+        alive = alive[roots[alive] != roots[x]]
+        matches = np.zeros(len(alive), int)
+        for n, m in least.items():
+            matches += (sig[alive, n - s.step : n] == sig[x, n - s.step : n]).sum(axis=1)
+            alive, matches = alive[matches >= m], matches[matches >= m]
+        if len(alive):
+            first = (banded[alive] == banded[x]).all(axis=2).argmax(axis=1)
+            for y in alive[first >= band]:
+                yield x, int(y)
+
+
+def in_blocks(rows: DataFrame, handle, fields: dict[str, pa.DataType]) -> DataFrame:
+    """What `handle` makes (dicts) of the rows of each block pair; one block pair is in memory at a time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
+        key, held = None, []
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 if (at := (row["bucket"], row["i"], row["j"])) != key:
-                    out += compare(held) if held else []
+                    out += handle(held) if held else []
                     key, held = at, []
                 held.append(row)
-            yield pa.RecordBatch.from_pydict({"a": [p[0] for p in out], "b": [p[1] for p in out]}, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
-            out = []
-        out += compare(held) if held else []
-        yield pa.RecordBatch.from_pydict({"a": [p[0] for p in out], "b": [p[1] for p in out]}, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if held and (out := handle(held)):
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema(list(fields.items()))
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(each, from_arrow_schema(schema))
 
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(each, "a binary, b binary").distinct()
+
+def rest_links(rest: DataFrame, sets: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join all components whose members in a bucket (bucket, n, name, root) are linked.
+
+    First the rows that have a likely partner are found from signatures alone. They come back with their texts, and
+    likely pairs are verified on full sets; pairs that links of the same block already join are skipped, so a block
+    gives fewer links than it has rows, however many pairs it holds.
+    """
+    def partners(rows: list[dict]) -> list[dict]:
+        found = {x for pair in likely(rows, s) for x in pair}
+        return [{k: rows[x][k] for k in ("bucket", "i", "j", "own", "name", "root", "signature")} for x in sorted(found)]
+
+    def verified(rows: list[dict]) -> list[dict]:
+        own, out, up = {}, [], {}
+
+        def top(root: bytes) -> bytes:
+            while root in up:
+                root = up[root]
+            return root
+
+        def shingled(x: int) -> np.ndarray:
+            if x not in own:
+                text = pa.array([rows[x]["text"]], pa.large_string())
+                own[x] = shingle_set(word_hashes(*text_bytes(text))[0], s.words)
+            return own[x]
+
+        for x, y in likely(rows, s):
+            one, two = top(rows[x]["root"]), top(rows[y]["root"])
+            if one == two:
+                continue
+            both = len(np.intersect1d(shingled(x), shingled(y), assume_unique=True))
+            if 100 * both >= s.percent * (len(own[x]) + len(own[y]) - both):
+                up[max(one, two)] = min(one, two)
+                out.append({"a": rows[x]["name"], "b": rows[y]["name"]})
+        return out
+
+    rows = blocks_of(rest, s).join(sets.select("name", "signature"), "name")
+    fields = {"bucket": pa.int64(), "i": pa.int32(), "j": pa.int32(), "own": pa.int32(), "name": pa.binary(), "root": pa.binary(), "signature": pa.binary()}
+    open_rows = stored(in_blocks(rows.select(*fields), partners, fields))
+    full = open_rows.join(texts, "name").select(*fields, "text")
+    return in_blocks(full, verified, {"a": pa.binary(), "b": pa.binary()})
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -229,8 +280,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = buckets.where("name <> head").join(roots, F.col("name") == F.col("node"), "left")
     members = stored(members.select("bucket", "n", "name", F.coalesce("root", "name").alias("root")))
     open_ = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    rest = members.join(open_, "bucket").join(sets.select("name", "signature"), "name")
-    more = linked(stored(rest_pairs(rest, s)), texts, s)
+    more = rest_links(members.join(open_, "bucket"), sets, texts, s)
     roots = components(links.union(more))
 
     known = rows.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "n_shingles", "name", F.coalesce("root", "name").alias("root"))
