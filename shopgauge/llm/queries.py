@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shopgauge.llm import decontaminate, exactdup, hilbert, mixing, neardup, quality, toxicity
+from shopgauge.llm import decontaminate, exactdup, hilbert, mixing, neardup, passages, quality, toxicity
 from shopgauge.llm.shared import shared_folder
 
 
@@ -34,6 +35,11 @@ def op5_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.deduplicate(documents(spark, sf_dir), exactdup.DigestIndex(spark, shared_folder(spark)))
 
 
+def op6_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.without_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_fair_queue": op4_fair_queue,
     "op5_digest_index": op5_digest_index,
+    "op6_automata": op6_automata,
     "op7_ftrl": op7_ftrl,
     "op8_hilbert": op8_hilbert,
     "op9_subword": op9_subword,
