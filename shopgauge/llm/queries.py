@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgauge.llm import decontaminate, exactdup, hilbert, mixing, neardup, passages, quality, toxicity
+from shopgauge.llm import decontaminate, exactdup, hilbert, katz, mixing, neardup, passages, quality, toxicity
 from shopgauge.llm.shared import shared_folder
 
 
@@ -23,6 +23,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(documents(spark, sf_dir))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir)).drop("name")
 
@@ -60,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_katz": op2_katz,
     "op3_minhash": op3_minhash,
     "op4_fair_queue": op4_fair_queue,
     "op5_digest_index": op5_digest_index,
