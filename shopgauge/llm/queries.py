@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgauge.llm import decontaminate, exactdup, hilbert, katz, mixing, neardup, passages, quality, toxicity
+from shopgauge.llm import decontaminate, exactdup, hilbert, katz, mixing, neardup, passages, pii, quality, toxicity
 from shopgauge.llm.shared import shared_folder
 
 
@@ -23,6 +23,25 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def _listed(spans: Column) -> Column:
+    """kind:begin:end of the spans by kind as listed, then begin, comma-joined."""
+    def of_kind(kind: str) -> Column:
+        return F.array_sort(F.transform(F.filter(spans, lambda x: x["kind"] == kind), lambda x: F.struct(x["begin"], x["end"], x["kind"])))
+
+    return F.array_join(F.transform(F.concat(*map(of_kind, pii.KINDS)), lambda x: F.concat_ws(":", x["kind"], x["begin"], x["end"])), ",")
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op1_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_ columns count base spans; `spans` also has what the learned patterns add."""
+    found = pii.personal_data(documents(spark, sf_dir))
+    base = F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *map(_count, pii.KINDS), base, _listed(F.concat("base", "more")).alias("spans"), F.size("more").alias("n_more"))
+
+
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(documents(spark, sf_dir))
 
@@ -64,6 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bootstrap": op1_bootstrap,
     "op2_katz": op2_katz,
     "op3_minhash": op3_minhash,
     "op4_fair_queue": op4_fair_queue,
