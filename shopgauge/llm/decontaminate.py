@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopgauge.llm.shared import GAPS, stored, whole_text
+from shopgauge.llm.shared import GAPS, KEYS, row_keys, stored, whole_text
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def enough(shared: Column, own: Column, other: Column, s: Settings) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, text_key, item_id, start_word, n_words, similarity: the best window of each document and item that match.
+    """KEYS, doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that match.
 
     Null texts and items without words match nothing. A text of fewer than five words is one shingle, so a shorter item
     matches a document of just its words. A document shorter than an item is one window. Repeated rows and repeated ids with equal text give one row per item; ties
@@ -99,17 +99,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     sizes = F.size("shingles").alias("item_size")
     keys = items.select("n_words", sizes, "item_id", F.explode("shingles").alias("shingle")).distinct()
     keys = keys.groupBy("shingle").agg(F.collect_list(F.struct("item_id", "n_words", "item_size")).alias("holders"))
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    text = text.withColumn("text_key", F.xxhash64("text"))
-    cut = text.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
-    cut = cut.select("doc_id", "text_key", F.size("words").alias("doc_words"), shingles_of(F.col("words"), s).alias("shingles"))
+    text = docs.select(*row_keys(docs), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    cut = text.select(*KEYS, "doc_id", words_of(F.col("text")).alias("words"))
+    cut = cut.select(*KEYS, "doc_id", F.size("words").alias("doc_words"), shingles_of(F.col("words"), s).alias("shingles"))
     # outer, as Spark would else filter by the array's size before it and split the text once for each word
-    places = cut.select("doc_id", "text_key", "doc_words", F.posexplode_outer("shingles").alias("place", "shingle"))
+    places = cut.select(*KEYS, "doc_id", "doc_words", F.posexplode_outer("shingles").alias("place", "shingle"))
     keys = stored(keys)
     if keys.count() <= s.broadcast_rows:  # some 100 bytes each; beyond that Spark shuffles both sides
         keys = F.broadcast(keys)
-    hits = places.join(keys, "shingle").select("doc_id", "text_key", "doc_words", "place", F.explode("holders").alias("h"))
-    by_item = hits.groupBy("doc_id", "text_key", "doc_words", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    hits = places.join(keys, "shingle").select(*KEYS, "doc_id", "doc_words", "place", F.explode("holders").alias("h"))
+    by_item = hits.groupBy(*KEYS, "doc_id", "doc_words", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
     # a window holds min(item, document) words; so many shared shingles make the threshold possible
     span = F.least(F.col("h.item_size"), F.greatest(F.col("doc_words") - (s.words - 1), F.lit(1)))
     need = F.ceil(s.percent * (span + F.col("h.item_size")) / (100 + s.percent)).cast("int")
@@ -117,13 +116,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     last = F.greatest(F.col("doc_words") - F.col("h.n_words"), F.lit(0))
     dense = F.filter(F.col("places"), lambda p, i: F.coalesce(F.get(F.col("places"), i + F.col("need") - 1) - p < F.col("span"), F.lit(False)))
     starts = F.transform(dense, lambda p: F.least(p, last))
-    windows = by_item.select("doc_id", "text_key", F.col("h.n_words").alias("n_words"), "span", F.explode(starts).alias("start")).distinct()
-    wanted = windows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n_words", "span", "start")).alias("windows"))
-    wanted = stored(wanted).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "windows")
-    again = text.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id", "text_key"])
+    windows = by_item.select(*KEYS, "doc_id", F.col("h.n_words").alias("n_words"), "span", F.explode(starts).alias("start")).distinct()
+    wanted = windows.groupBy(*KEYS).agg(F.collect_list(F.struct("n_words", "span", "start")).alias("windows"))
+    wanted = stored(wanted)
+    again = text.join(wanted, KEYS).dropDuplicates(KEYS)
     again = again.withColumn("words", words_of(F.col("text"))).withColumn("shingles", shingles_of(F.col("words"), s))
-    again = again.select("doc_id", "text_key", "shingles", F.explode("windows").alias("w"))
-    bags = again.select("doc_id", "text_key", "w.n_words", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.span")).alias("bag"))
+    again = again.select(*KEYS, "doc_id", "shingles", F.explode("windows").alias("w"))
+    bags = again.select(*KEYS, "doc_id", "w.n_words", "w.start", F.slice("shingles", F.col("w.start") + 1, F.col("w.span")).alias("bag"))
     prints = stored(bags.withColumn("print", fingerprint(F.col("bag"), s)).withColumn("window", F.monotonically_increasing_id()))
 
     entry = F.struct(F.col("block"), F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
@@ -138,5 +137,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     own, other = F.size("bag"), F.size("item_bag")
     checked = near.where(enough(F.col("shared"), own, other, s)).withColumn("similarity", F.col("shared") / (own + other - F.col("shared")))
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
-    out = checked.groupBy("doc_id", "text_key", "item_id").agg(best.alias("best"))
-    return out.select("doc_id", "text_key", "item_id", F.col("best.start").alias("start_word"), "best.n_words", "best.similarity")
+    out = checked.groupBy(*KEYS, "doc_id", "item_id").agg(best.alias("best"))
+    return out.select(*KEYS, "doc_id", "item_id", F.col("best.start").alias("start_word"), "best.n_words", "best.similarity")

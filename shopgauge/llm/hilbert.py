@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopgauge.llm.shared import running_total, stored, whole_text
+from shopgauge.llm.shared import KEYS, row_keys, running_total, stored, whole_text
 
 BITS = 8
 
@@ -51,8 +51,8 @@ def with_curve(df: DataFrame, columns: list[str], out: str, bits: int = BITS) ->
     return df.withColumn(out, reduce(lambda a, b: a + b, spread)).drop(*axes, "_flip")
 
 
-def shard(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, curve, shard, slot, grown_shard and the columns named in `keep`, one row per document.
+def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """KEYS, doc_id, size, text_crc32, law, curve, shard, slot, grown_shard: one row per document.
 
     Language, source and size are quantised and put on a Hilbert curve; the curve is cut into `shards` runs of rows
     whose counts differ by one at most (law `rows`). Ties on the curve follow a digest of id and text. Null texts have
@@ -61,25 +61,24 @@ def shard(docs: DataFrame, shards: int = 24, keep: tuple[str, ...] = ()) -> Data
     """
     text = whole_text()
     rows = docs.select(
+        *row_keys(docs),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text).cast("bigint") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
         F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary")).alias("place"),
-        *(F.col(c).alias(f"_keep_{c}") for c in keep),
     )
     rows = stored(rows)  # the range sort reads its input twice
     axes = grid_of_values(grid_of_values(rows, "lang", "lang_step"), "source", "source_step")
     axes = axes.withColumn("size_step", grid_of_size(F.col("size")))
     placed = with_curve(axes, ["lang_step", "source_step", "size_step"], "curve").withColumn("one", F.lit(1))
-    ranked = running_total(placed, "one", [], ["curve", "place", "doc_id"], "rank")
+    ranked = running_total(placed, "one", [], ["curve", "place", "doc_id", *KEYS], "rank")
     counted = rows.agg(F.count("*").alias("n"))
     cut = ranked.crossJoin(F.broadcast(counted)).withColumn("_at", (F.col("rank") - 1) * shards)
     cut = cut.withColumn("shard", F.expr("_at div n").cast("int"))
     start = F.expr(f"(cast(shard as bigint) * n + {shards - 1}) div {shards}")
     return cut.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "curve", "shard",
+        *KEYS, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "curve", "shard",
         (F.col("rank") - 1 - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        *(F.col(f"_keep_{c}").alias(c) for c in keep),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopgauge.llm.shared import WORD, running_total, stored, whole_text
+from shopgauge.llm.shared import KEYS, WORD, row_keys, running_total, stored, whole_text
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -14,16 +14,17 @@ REPEATS = 3
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """One row per document, repeated rows counted: doc_id, source, text digest, size in words, rows, place in the shuffle."""
+    """One row per document, repeated rows counted: KEYS, doc_id, source, text digest, size in words, rows, place in the shuffle."""
     text = whole_text()
     rows = docs.select(
+        *row_keys(docs),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.md5(text.cast("binary")).alias("digest"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
     )
     place = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest").cast("binary"))
-    return rows.groupBy("doc_id", "source", "digest", "size").agg(F.count("*").alias("rows")).withColumn("place", place)
+    return rows.groupBy(*KEYS, "doc_id", "source", "digest", "size").agg(F.count("*").alias("rows")).withColumn("place", place)
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -47,7 +48,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, digest, size, rows, source_size, target and copies of each distinct document.
+    """KEYS, doc_id, source, digest, size, rows, source_size, target and copies of each distinct document.
 
     Documents are shuffled by a digest, so reruns agree. The k-th copy of a document finishes at (k - 1 times the
     source's size, plus what the source has queued up to the document) over the target; copies that start before their
@@ -59,15 +60,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     # one row per source; broadcast only below Spark's threshold, split by adaptive execution otherwise
     known = rows.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     queued = known.withColumn("words", F.col("size") * F.col("rows"))
-    ahead = running_total(queued, "words", ["source_no"], ["place", "doc_id", "digest"], "ahead")
+    ahead = running_total(queued, "words", ["source_no"], ["place", "doc_id", "digest", *KEYS], "ahead")
     copies = ahead.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     end = F.col("copy") * F.col("source_size") + F.col("ahead")
     copies = copies.withColumn("asked", (F.col("size") > 0) & (end - F.col("words") < F.col("target")))
     copies = copies.where(F.col("asked") | (F.col("copy") == 0)).withColumn("finish", F.when(F.col("asked"), end / F.col("target")).otherwise(0.0))
     copies = copies.withColumn("load", F.when(F.col("asked"), F.col("words")).otherwise(0))
     total = by_source.agg(F.sum("source_size").alias("total"))
-    line = running_total(copies.crossJoin(F.broadcast(total)), "load", [], ["finish", "source_no", "place", "doc_id", "digest", "copy"], "sent")
-    keys = ["doc_id", "source", "digest", "size", "rows", "source_size", "target"]
+    line = running_total(copies.crossJoin(F.broadcast(total)), "load", [], ["finish", "source_no", "place", "doc_id", "digest", *KEYS, "copy"], "sent")
+    keys = [*KEYS, "doc_id", "source", "digest", "size", "rows", "source_size", "target"]
     return line.groupBy(*keys).agg(F.sum((F.col("asked") & (F.col("sent") <= F.col("total"))).cast("bigint")).alias("copies"))
 
 

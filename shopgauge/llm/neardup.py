@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from shopgauge.llm.graph import components
-from shopgauge.llm.shared import stored, whole_text
+from shopgauge.llm.shared import KEYS, row_keys, stored, whole_text
 from shopgauge.llm.words import mixed, pieces, shingle_set, text_bytes, word_hashes
 
 
@@ -77,7 +77,7 @@ def least_matches(s: Settings) -> dict[int, int]:
 
 
 def sketches(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, text_key, n_shingles, name and signature of each document's set; the last two null without words."""
+    """doc_id, KEYS, n_shingles, name and signature of each document's set; the last two null without words."""
     count = s.bands * s.rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,18 +86,17 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
             sets = [shingle_set(hashes[a:b], s.words) for a, b in zip(of[:-1], of[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": piece.column("doc_id"),
-                "text_key": piece.column("text_key"),
+                **{k: piece.column(k) for k in KEYS},
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                 "name": pa.array([set_name(x) if len(x) else None for x in sets], pa.binary()),
                 "signature": pa.array([signature(x, count).tobytes() if len(x) else None for x in sets], pa.binary()),
             })
 
-    return _texts(docs).mapInArrow(sketch, "doc_id long, text_key long, n_shingles long, name binary, signature binary")
+    return _texts(docs).mapInArrow(sketch, "doc_id long, key_a long, key_b long, n_shingles long, name binary, signature binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return rows.withColumn("text_key", F.xxhash64("text"))
+    return docs.select(*row_keys(docs), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
 
 
 def proposed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -258,19 +257,19 @@ def rest_links(rest: DataFrame, sets: DataFrame, texts: DataFrame, s: Settings)
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and name, the document's set (null without words).
+    """One row per document: doc_id, n_shingles, component_id, kept, root (one value per component, null without words), KEYS.
 
     component_id is the smallest id reachable over links; null ids link but never name a component, unless all its ids
     are null. kept: the row has the component's id; rows repeated with that id are all kept, as they are the same
     document. A document without words is linked with nothing. An empty table gives no rows.
     """
     rows = stored(sketches(docs, s))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *KEYS))
     sets = rows.where("name is not null").groupBy("name").agg(first.alias("first"), F.min("signature").alias("signature"))
-    sets = stored(sets.select("name", "first.doc_id", "first.text_key", "signature"))
+    sets = stored(sets.select("name", *(f"first.{k}" for k in KEYS), "signature"))
     buckets = stored(buckets_of(sets, s))
-    wanted = buckets.select("name").distinct().join(sets, "name").select("name", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    found = _texts(docs).join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = buckets.select("name").distinct().join(sets, "name").select("name", *KEYS)
+    found = _texts(docs).join(wanted, KEYS)
     texts = stored(found.select("name", "text").dropDuplicates(["name"]))
 
     pairs = buckets.where("name <> head").select(F.col("head").alias("a"), F.col("name").alias("b")).distinct()
@@ -283,8 +282,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     more = rest_links(members.join(open_, "bucket"), sets, texts, s)
     roots = components(links.union(more))
 
-    known = rows.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "n_shingles", "name", F.coalesce("root", "name").alias("root"))
+    known = rows.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", *KEYS, "n_shingles", F.coalesce("root", "name").alias("root"))
     ids = known.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least_id"))
     out = known.join(ids, F.col("root") == F.col("of"), "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "name")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root", *KEYS)

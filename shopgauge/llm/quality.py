@@ -118,16 +118,18 @@ def scores(raw: np.ndarray, at: np.ndarray, model: np.ndarray, bits: int) -> np.
     return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def scored(docs: DataFrame, model: np.ndarray, columns: dict, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
-    """The given columns (name to type) of every row with score and predicted; `docs` has them and `text`."""
+def accepted(docs: DataFrame, model: np.ndarray, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns unchanged, whose score reaches the threshold; a null text is scored as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits + 1 numbers
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            found = scores(*text_bytes(piece.column("text")), shared.value, s.bits)
-            yield pa.RecordBatch.from_arrays([*(piece.column(piece.schema.get_field_index(c)) for c in columns), pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])
+            found = [scores(*text_bytes(p.column("text")), shared.value, s.bits) for p in pieces([texts])]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) >= threshold))
 
-    return docs.mapInArrow(apply, ", ".join([*(f"`{c}` {t}" for c, t in columns.items()), "score double", "predicted int"]))
+    return docs.mapInArrow(apply, docs.schema)
 
 
 def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
@@ -136,5 +138,12 @@ def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings(), threshol
     Repeated rows get the same score, a null id counts as an empty text when rows are held out, and without any
     labelled row every score is 0.5.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits + 1 numbers
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            found = scores(*text_bytes(piece.column("text")), shared.value, s.bits)
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), "score": found, "predicted": (found >= threshold).astype(np.int32)})
+
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_remainder(5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return scored(rows, model, {"doc_id": "long", "held_out": "boolean"}, s, threshold)
+    return rows.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")

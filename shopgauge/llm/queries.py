@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgauge.llm import decontaminate, exactdup, hilbert, katz, mixing, neardup, passages, pii, quality, toxicity
-from shopgauge.llm.shared import shared_folder
+from shopgauge.llm.shared import KEYS, shared_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir)).drop("name")
+    return neardup.near_duplicates(documents(spark, sf_dir)).drop("root", *KEYS)
 
 
 def op4_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op7_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.shard(documents(spark, sf_dir))
+    return hilbert.shard(documents(spark, sf_dir)).drop(*KEYS)
 
 
 def op9_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and item that it holds: the clean documents have none."""
-    return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop("text_key")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop(*KEYS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

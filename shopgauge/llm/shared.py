@@ -34,6 +34,16 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+#: Two hashes that stand for a whole row; rows that agree in both are interchangeable.
+KEYS = ["key_a", "key_b"]
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """The columns KEYS: 128 bits over all columns but maps, which have no hash."""
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    return [F.xxhash64(*columns).alias(KEYS[0]), F.xxhash64(F.lit(1), *reversed(columns)).alias(KEYS[1])]
+
+
 def id_remainder(divisor: int) -> Column:
     """crc32 of the id's text modulo `divisor`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
