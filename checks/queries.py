@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PRESET = Preset(starschema.RULES, config.BUCKETS_V2)
 PRESET_OLD = Preset(starschema.RULES, config.BUCKETS_V1)
 MONTH = "1997-03"
+#: Labels for a year of the data; other months have none.
+LABELS = tuple((f"1997-{i:02d}", f"Monat {i} von 1997") for i in range(1, 13))
 QUERIES: dict[str, Query] = {}
 
 
@@ -72,18 +75,22 @@ def src_registry(spark, sf_dir):
 
 @query
 def views_register(spark, sf_dir):
-    register_views(StarSchema(spark, sf_dir), "v2", PRESET)
-    return spark.table("benchmark_export_monthly")
+    src = StarSchema(spark, sf_dir)
+    counts = []
+    for generation, preset in (("v1", PRESET_OLD), ("v2", PRESET)):
+        for view in register_views(src, generation, preset, f"{generation}_"):
+            counts.append(spark.table(view).agg(F.count("*").alias("n")).select(F.lit(view).alias("view"), "n"))
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
 def detail_scan(spark, sf_dir):
-    return period.detail(bench(spark, sf_dir).export_v2)
+    return period.detail(bench(spark, sf_dir).export_v2, MONTH)
 
 
 @query
 def detail_scan_category(spark, sf_dir):
-    return period.detail(bench(spark, sf_dir).sales_agg, column="IdCalmonthStd")
+    return period.detail(bench(spark, sf_dir).sales_agg, MONTH, "IdCalmonthStd")
 
 
 @query
@@ -95,8 +102,7 @@ def sink_csv(spark, sf_dir):
 
 @query
 def rows_per_store(spark, sf_dir):
-    src = StarSchema(spark, sf_dir)
-    return sales.rows_per_store(src.sales, src.registry)
+    return sales.rows_per_store(StarSchema(spark, sf_dir).sales, config.STORE_IDS)
 
 
 # ---- projections, filters, predicates ---------------------------------------------------
@@ -113,9 +119,16 @@ def month_key(spark, sf_dir):
     return orders.select("o_orderkey", ex.month_key(F.col("o_orderdate")).alias("month"))
 
 
-def _classified(spark, sf_dir, rules):
+#: Added to part names in turn, so that every class, both orders of conflicting rules and mixed case occur.
+MODELS = ("", "JMS E-BIKE", "e-trekking", "hardtail mtb", "Mountain King", "TRAVEL CITY", "Trekking Kid", "Kinderrad",
+          "gRaCe MX", "Cube Trekking Pedelec", "PUKY Z2", "Copperhead 3", "vulture 8", "Rixe Comp", "Town Lite", "Corona")
+
+
+def _classified(spark, sf_dir, rules, models=MODELS):
     parts = starschema.table(spark, sf_dir, "part")
-    return parts.select("p_partkey", "p_name", ex.classify(F.col("p_name"), rules).alias("category"))
+    turn = (F.col("p_partkey") % len(models)).cast("int")
+    named = parts.select("p_partkey", F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, models)), turn)).alias("p_name"))
+    return ex.classified(named, "p_name", rules, "category").select("p_partkey", "p_name", "category")
 
 
 @query
@@ -130,7 +143,7 @@ def category_v2(spark, sf_dir):
 
 @query
 def category_rules(spark, sf_dir):
-    return _classified(spark, sf_dir, starschema.RULES)
+    return _classified(spark, sf_dir, starschema.RULES, ("small",))
 
 
 @query
@@ -146,6 +159,11 @@ def store_whitelist(spark, sf_dir):
 
 @query
 def period_filter(spark, sf_dir):
+    return period.in_period(bench(spark, sf_dir).export_v2, MONTH)
+
+
+@query
+def period_at_the_source(spark, sf_dir):
     return Benchmark(StarSchema(spark, sf_dir), PRESET, MONTH).export_v2
 
 
@@ -188,8 +206,7 @@ def join_salesorg(spark, sf_dir):
 @query
 def join_sales_costs(spark, sf_dir):
     b = bench(spark, sf_dir)
-    sums = b.category_sums
-    return sales.published(sums.join(b.cost_sums.drop("StoreName"), list(kpi.KEYS)))
+    return kpi.sales_with_costs(b.category_sums, b.cost_sums)
 
 
 @query
@@ -219,6 +236,14 @@ def join_store_size(spark, sf_dir):
     return location.with_size(b.period_kpis, b.sources.locations).select("store_id", "store_name", "size_m2")
 
 
+@query
+def join_store_size_repeated(spark, sf_dir):
+    b = bench(spark, sf_dir)
+    more = b.sources.locations.where("ID_STORE % 3 = 1").withColumn("LOC_SIZE_M2", F.expr("CAST(50 + ID_STORE * 30 AS DECIMAL(12,2))"))
+    areas = b.sources.locations.unionByName(more)
+    return location.with_size(b.period_kpis, areas).select("store_id", "store_name", "size_m2")
+
+
 # ---- aggregations -----------------------------------------------------------------------
 
 
@@ -274,6 +299,69 @@ def waterfall_view(spark, sf_dir):
     return bench(spark, sf_dir).waterfall
 
 
+class Spelled(StarSchema):
+    """Costs under two spellings of a store: even stores book under one or the other, odd ones every amount under both."""
+
+    @cached_property
+    def costs(self):
+        other = F.concat("StoreName", F.lit(" (2)"))
+        even = F.array(F.when(F.dayofmonth("ID_CALMONTH") % 2 == 0, F.col("StoreName")).otherwise(other))
+        names = F.when(F.col("ID_STORE") % 2 == 0, even).otherwise(F.array("StoreName", other))
+        return super().costs.withColumn("StoreName", F.explode(names))
+
+
+@query
+def kpi_spellings(spark, sf_dir):
+    return Benchmark(Spelled(spark, sf_dir), PRESET).kpi
+
+
+@query
+def export_spellings(spark, sf_dir):
+    return Benchmark(Spelled(spark, sf_dir), PRESET).export_v2
+
+
+@query
+def waterfall_spellings(spark, sf_dir):
+    return Benchmark(Spelled(spark, sf_dir), PRESET).waterfall
+
+
+class Missing(StarSchema):
+    """Store 2 has no revenue, and amounts of gadgets are missing."""
+
+    def _cut(self, lines):
+        gadget = F.col("ProduktBeschreibung").like("%widget%") | F.col("ProduktBeschreibung").like("%gizmo%")
+        revenue = F.when(F.col("ID_STORE") == 2, 0).when(~gadget, F.col("RevenueEUR")).cast("decimal(19,4)")
+        return lines.withColumn("RevenueEUR", revenue)
+
+    @cached_property
+    def sales(self):
+        return self._cut(super().sales)
+
+    def classified_sales(self, rules):
+        return self._cut(super().classified_sales(rules))
+
+
+@query
+def category_totals_missing(spark, sf_dir):
+    return Benchmark(Missing(spark, sf_dir), PRESET).category_totals
+
+
+@query
+def best_worst_missing(spark, sf_dir):
+    return category.best_worst(Benchmark(Missing(spark, sf_dir), PRESET).category_totals)
+
+
+@query
+def insights_missing(spark, sf_dir):
+    figures = Benchmark(Missing(spark, sf_dir), PRESET).period_kpis_all
+    return compare.insights(figures.where("store_id = 2"))
+
+
+@query
+def stored_figures(spark, sf_dir):
+    return bench(spark, sf_dir).stored(shared_folder(spark)).export_v2
+
+
 @query
 def period_kpis(spark, sf_dir):
     return bench(spark, sf_dir).period_kpis
@@ -453,7 +541,7 @@ def like_match(spark, sf_dir):
     return starschema.table(spark, sf_dir, "part").select(
         "p_partkey",
         ex.like_match(name, "%RING%").alias("any_case"),
-        ex.like_match(name, "%RING%", case_sensitive=True).alias("same_case"),
+        ex.like_match(name, "%ring%", case_sensitive=True).alias("same_case"),
         ex.like_match(name, "hot%").alias("prefix"),
     )
 
@@ -505,20 +593,25 @@ def format_percent(spark, sf_dir):
     return _margin(spark, sf_dir, margin=fm.fmt_pct(F.col(MARGIN)))
 
 
+# The margin, but missing and exactly 0 in every seventh store each.
+def _change():
+    return F.expr(f"CASE IdStore % 7 WHEN 1 THEN NULL WHEN 2 THEN 0 ELSE {MARGIN} END").cast("decimal(38,2)")
+
+
 @query
 def signed_change(spark, sf_dir):
-    return _margin(spark, sf_dir, text=fm.signed_pct(F.col(MARGIN)), kind=fm.change_class(F.col(MARGIN)))
+    return _margin(spark, sf_dir, text=fm.signed_pct(_change()), kind=fm.change_class(_change()))
 
 
 @query
 def trend_band(spark, sf_dir):
-    return _margin(spark, sf_dir, band=fm.trend_band(F.col(MARGIN)), arrow=fm.trend_arrow(F.col(MARGIN)))
+    return _margin(spark, sf_dir, band=fm.trend_band(_change()), arrow=fm.trend_arrow(_change()))
 
 
 @query
 def store_by_name(spark, sf_dir):
     src = StarSchema(spark, sf_dir)
-    return lookup.match_name(src.costs, src.registry, "StoreName", "store").select(
+    return lookup.match_name(src.costs, src.registry, "StoreName", "store", src.stores.select("STORE_LOCATION")).select(
         "ID_CALMONTH", "WertEUR", "StoreName", "store_name", "store_short"
     )
 
@@ -542,7 +635,7 @@ def category_lookup(spark, sf_dir):
 @query
 def month_label(spark, sf_dir):
     export = bench(spark, sf_dir).export_v2.select("Monat", "IdStore", "UmsatzEur")
-    return period.with_month_label(export, registry.month_labels(spark))
+    return period.with_month_label(export, registry.month_labels(spark, LABELS))
 
 
 @query

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in the one the cluster names; a temporary one only in a local session."""
+    """A new folder in the one that spark.checkpoint.dir names; where that is unset, one is set for the session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="shopgauge-")
-    raise ValueError("spark.checkpoint.dir is not set")
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"

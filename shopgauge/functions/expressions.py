@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgauge.config import CategoryRules, CostBucket
@@ -36,6 +36,11 @@ def mean(col: Column) -> Column:
     return F.sum(col).cast("double") / F.nullif(F.count(col), F.lit(0))
 
 
+def mean_over(col: Column, window) -> Column:
+    """`mean` of a decimal column over a window."""
+    return F.sum(col).over(window).cast("double") / F.nullif(F.count(col).over(window), F.lit(0))
+
+
 def money_mean(col: Column) -> Column:
     """Mean of an amount as an amount of four places, which later means can sum exactly."""
     return F.round(F.sum(col) / F.nullif(F.count(col), F.lit(0)), 4).cast("decimal(19,4)")
@@ -49,18 +54,37 @@ def or_zero(col: Column) -> Column:
     return F.coalesce(col, F.lit(0))
 
 
+#: Column of the category that rules give a sales line.
+CATEGORY = "BenchmarkCategory"
+
+
 def like_match(col: Column, pattern: str, case_sensitive: bool = False) -> Column:
     """Wildcard match; the optimiser turns `%word%` and `word%` into contains and starts-with."""
     return col.like(pattern) if case_sensitive else col.ilike(pattern)
 
 
 def classify(col: Column, rules: CategoryRules) -> Column:
-    """Category of a description: the first class with a matching pattern, else the fallback."""
-    result = F
-    for category, patterns in rules.classes:
-        hit = reduce(Column.__or__, [like_match(col, p, rules.case_sensitive) for p in patterns])
-        result = result.when(hit, F.lit(category))
-    return result.otherwise(F.lit(rules.fallback))
+    """Category of a description: the first class with a matching pattern, else the fallback.
+
+    With rules that ignore case, `col` is the description in lower case. Last classes that
+    equal the fallback decide nothing and are left out.
+    """
+    classes = list(rules.classes)
+    while classes and classes[-1][0] == rules.fallback:
+        classes.pop()
+    fold = (lambda p: p) if rules.case_sensitive else str.lower
+    result = None
+    for category, patterns in classes:
+        hit = reduce(Column.__or__, [col.like(fold(p)) for p in patterns])
+        result = F.when(hit, F.lit(category)) if result is None else result.when(hit, F.lit(category))
+    return F.lit(rules.fallback) if result is None else result.otherwise(F.lit(rules.fallback))
+
+
+def classified(df: DataFrame, column: str, rules: CategoryRules, name: str = CATEGORY) -> DataFrame:
+    """Add the category of a description; the text is lowered once, in a projection of its own."""
+    if rules.case_sensitive:
+        return df.withColumn(name, classify(F.col(column), rules))
+    return df.withColumn("_lower", F.lower(column)).withColumn(name, classify(F.col("_lower"), rules)).drop("_lower")
 
 
 def in_bucket(col: Column, bucket: CostBucket, case_sensitive: bool = False) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shopgauge.config import ALL_PERIODS
-from shopgauge.functions.expressions import mean
+from shopgauge.functions.expressions import mean, or_zero
 from shopgauge.operators.period import in_period
 
 CATEGORY = "BenchmarkCategory"
@@ -22,14 +22,14 @@ def category_totals(agg: DataFrame, period: str = ALL_PERIODS) -> DataFrame:
     return (
         in_period(agg, period, "IdCalmonthStd")
         .groupBy(CATEGORY)
-        .agg(F.sum("TotalRevenueEur").alias("revenue"), F.sum("TotalQuantity").alias("quantity"))
+        .agg(or_zero(F.sum("TotalRevenueEur")).alias("revenue"), or_zero(F.sum("TotalQuantity")).alias("quantity"))
         .select(F.lit(period).alias("period"), F.col(CATEGORY).alias("category"), "revenue", "quantity")
     )
 
 
 def category_by_store(agg: DataFrame, column: str, name: str, fn: str = "sum", period: str = ALL_PERIODS) -> DataFrame:
-    """One measure per store and category; `fn` is `sum`, or `mean` for a mean of monthly means."""
-    value = mean(F.col(column)) if fn == "mean" else F.sum(column)
+    """One measure per store and category; `fn` is `sum` (of nothing: 0), or `mean` for a mean of monthly means."""
+    value = mean(F.col(column)) if fn == "mean" else or_zero(F.sum(column))
     return (
         in_period(agg, period, "IdCalmonthStd")
         .groupBy(*STORE, CATEGORY)

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgauge import config
-from shopgauge.functions.expressions import banded, pct
+from shopgauge.functions.expressions import banded, mean_over, pct
 from shopgauge.functions.formats import fixed, fmt_eur, fmt_pct
 from shopgauge.operators.location import with_size
 from shopgauge.operators.period import within_period
 
 SCORE_DIGITS = 6
+#: Places of the decimals that are added up for means.
+EXACT_DIGITS = 12
 
 
 def rank_stores(kpis: DataFrame, measure: str = "net_profit") -> DataFrame:
@@ -93,7 +95,10 @@ def insights(kpis: DataFrame) -> DataFrame:
         "profit_leader",
         headline.alias("headline"),
         F.format_string(config.TEXT_REVENUE_LEADER, revenue, fixed(above, 1)).alias("revenue_note"),
-        F.format_string(config.TEXT_MARGIN_LEADER, margin, fixed(F.col("best_margin"), 1)).alias("margin_note"),
+        F.when(
+            F.col("best_margin").isNotNull(),
+            F.format_string(config.TEXT_MARGIN_LEADER, margin, fixed(F.col("best_margin"), 1)),
+        ).alias("margin_note"),
         F.format_string(config.TEXT_RECOMMENDATION, profit).alias("recommendation"),
     )
 
@@ -104,23 +109,28 @@ def scorecard(
     bands=config.SCORE_BANDS,
     lowest: str = config.SCORE_LOWEST,
 ) -> DataFrame:
-    """Profit and revenue per m² and margin, each relative to the mean of the stores (= 100)."""
-    size = F.col("size_m2")
+    """Profit and revenue per m² and margin, each relative to the mean of the stores (= 100).
+
+    Values are rounded to decimals before they are added up, so means do not depend on the
+    order of rows, and the bands are those of the rounded scores that are shown.
+    """
+    size, exact = F.col("size_m2"), f"decimal(38,{EXACT_DIGITS})"
     sized = with_size(kpis, locations)
 
     def per_m2(column):
         return F.when(size > 0, F.col(column).cast("double") / size.cast("double")).otherwise(F.lit(0.0))
 
-    values = {"profit_per_m2": per_m2("net_profit"), "revenue_per_m2": per_m2("revenue")}
-    measured = sized.select("period", "store_id", "store_name", size, "margin", *[v.alias(n) for n, v in values.items()])
-    result = measured
+    values = {"margin": F.col("margin"), "profit_per_m2": per_m2("net_profit"), "revenue_per_m2": per_m2("revenue")}
+    result = sized.select(
+        "period", "store_id", "store_name", size, *[v.cast(exact).alias(n) for n, v in values.items()]
+    )
     for source, name in (("profit_per_m2", "profit"), ("revenue_per_m2", "revenue"), ("margin", "margin")):
-        result = result.withColumn(f"{name}_score", pct(F.col(source), F.avg(source).over(within_period()), 0.0))
+        average = mean_over(F.col(source), within_period())
+        result = result.withColumn(f"{name}_score", F.round(pct(F.col(source), average, 0.0), SCORE_DIGITS))
     for name in ("profit", "revenue", "margin"):
         score = F.col(f"{name}_score")
         result = result.withColumn(f"{name}_band", banded(score, bands, lowest, at_least=True))
-    rounded = ("margin", "profit_per_m2", "revenue_per_m2", "profit_score", "revenue_score", "margin_score")
-    return result.withColumns({c: F.round(c, SCORE_DIGITS) for c in rounded})
+    return result.withColumns({n: F.round(n, SCORE_DIGITS).cast("double") for n in values})
 
 
 def radar(kpis: DataFrame, margin_factor: int = config.RADAR_MARGIN_FACTOR) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shopgauge.config import COMMISSION, MARKETING, RENT, CostBuckets
+from shopgauge.config import ALL_PERIODS, COMMISSION, MARKETING, RENT, CostBuckets
 from shopgauge.functions.expressions import in_bucket, month_start, or_zero
+from shopgauge.operators.period import source_period
 from shopgauge.operators.sales import published, where_stores
 
 BUCKET_COLUMNS = ("PersonnelCostsEur", "OperatingCostsEur", "AdditionalProcurementCostsEur")
@@ -72,18 +73,38 @@ def cost_sums_wide(costs: DataFrame, buckets: CostBuckets, store_ids=None, posit
     return totals.withColumns({name: or_zero(F.sum(name).over(month_store)) for name in positions})
 
 
+def detail_sums(costs: DataFrame, store_ids=None) -> DataFrame:
+    """Per month start, store, store name and cost category: sum."""
+    sums = _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName", "Kostenkategorie")
+    return sums.agg(F.sum("WertEUR").alias("KostenEur"))
+
+
+def as_costs(details: DataFrame) -> DataFrame:
+    """Detail sums in the form of a cost source: their totals are those of the costs."""
+    return details.select(
+        F.col("MonthStart").alias("ID_CALMONTH"), F.col("IdStore").alias("ID_STORE"), "StoreName", "Kostenkategorie", F.col("KostenEur").alias("WertEUR")
+    )
+
+
 def costs_detail(costs: DataFrame, store_ids=None) -> DataFrame:
     """Per month, store, store name and cost category: sum."""
-    sums = _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName", "Kostenkategorie")
-    return published(sums.agg(F.sum("WertEUR").alias("KostenEur")))
+    return published(detail_sums(costs, store_ids))
 
 
-def cost_lookup(keys: DataFrame, costs: DataFrame, positions=POSITIONS, case_sensitive: bool = False) -> DataFrame:
+def cost_lookup(
+    keys: DataFrame,
+    costs: DataFrame,
+    positions=POSITIONS,
+    case_sensitive: bool = False,
+    store_ids=None,
+    period: str = ALL_PERIODS,
+) -> DataFrame:
     """Add single cost positions to rows keyed by month start and store, 0 where there are none.
 
     One conditional aggregate and one left join stand for a scalar subquery per position.
+    Give the stores and the month that `keys` is about: they are filtered at the scan.
     """
-    found = _by_month_store(costs, None).groupBy("MonthStart", "IdStore").agg(
+    found = _by_month_store(source_period(costs, period), store_ids).groupBy("MonthStart", "IdStore").agg(
         *_position_sums(positions, case_sensitive)
     )
     joined = keys.join(found, ["MonthStart", "IdStore"], "left")

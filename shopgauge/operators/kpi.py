@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shopgauge.functions.expressions import month_key, pct, round2
 from shopgauge.operators.costs import POSITIONS
-from shopgauge.operators.sales import published
+from shopgauge.operators.sales import MEASURES, published
 
 BASE = ("TotalRevenueEur", "TotalGrossProfitEur", "TotalCostsEur", "PersonnelCostsEur", "OperatingCostsEur")
 RATIOS = ("GrossProfitMarginPct", "OperatingCostRatioPct", "PersonnelCostRatioPct", "NetProfitMarginPct")
 KEYS = ("MonthStart", "IdStore")
+COST_SET = ("TotalCostsEur", "PersonnelCostsEur", "OperatingCostsEur")
 EXPORT_PERCENT = {
     "BruttogewinnMargeProzent": "GrossProfitMarginPct",
     "BetriebskostenQuoteProzent": "OperatingCostRatioPct",
@@ -31,15 +32,37 @@ def with_ratios(df: DataFrame) -> DataFrame:
     })
 
 
-def kpi_wide(totals: DataFrame, costs: DataFrame) -> DataFrame:
-    """Join store totals with cost sums on month and store, and derive net profit and ratios.
+def _with_cost_groups(totals: DataFrame, costs: DataFrame) -> DataFrame:
+    """Store totals for each distinct set of cost sums of the month and store, with net profit and ratios.
 
     An inner join: a month with only one side is left out. Both sides are aggregates, so
-    neither facts table is shuffled for it. Further cost columns are carried through, which
-    spares the export and the waterfall a second join with the costs.
+    neither facts table is shuffled for it. The cost rows of a month and store, one per name
+    spelling, come along in `spellings`; a set that n spellings share counts the sales n times.
+    """
+    rest = [c for c in costs.columns if c not in (*KEYS, "StoreName")]
+    gathered = costs.groupBy(*KEYS).agg(F.collect_list(F.struct(*rest)).alias("spellings"))
+    sets = F.transform("spellings", lambda s: F.struct(*[s[c].alias(c) for c in COST_SET]))
+    joined = totals.join(gathered, list(KEYS)).withColumn("sets", sets).withColumn("set", F.explode(F.array_distinct("sets")))
+    times = F.size(F.filter("sets", lambda s: s.eqNullSafe(F.col("set"))))
+    figures = joined.select(
+        *KEYS,
+        "StoreName",
+        *[(F.col(m) * times).cast("decimal(38,4)").alias(m) for m in MEASURES],
+        *[f"set.{c}" for c in COST_SET],
+        "spellings",
+    )
+    return with_ratios(figures.withColumn("NetProfitEur", F.col("TotalGrossProfitEur") - F.col("TotalCostsEur")))
+
+
+def kpi_wide(totals: DataFrame, costs: DataFrame) -> DataFrame:
+    """Key figures joined with the costs of their month and store again, for the columns that they lack.
+
+    That is a row for each set of cost sums and each spelling. The cost rows are at hand from
+    the first join, so the costs are neither read nor joined a second time.
     """
-    joined = totals.join(costs.drop("StoreName"), list(KEYS))
-    return with_ratios(joined.withColumn("NetProfitEur", F.col("TotalGrossProfitEur") - F.col("TotalCostsEur")))
+    rest = [c for c in costs.columns if c not in (*KEYS, *COST_SET, "StoreName")]
+    each = _with_cost_groups(totals, costs).withColumn("spelling", F.explode("spellings"))
+    return each.select(*KEYS, "StoreName", *BASE, "NetProfitEur", *RATIOS, *[f"spelling.{c}" for c in rest])
 
 
 def kpi(totals: DataFrame, costs: DataFrame) -> DataFrame:
@@ -48,15 +71,15 @@ def kpi(totals: DataFrame, costs: DataFrame) -> DataFrame:
     Should a store have several name spellings in the costs, there is one row per distinct
     set of cost sums, and spellings with equal sums share a row.
     """
-    joined = totals.join(costs.drop("StoreName"), list(KEYS))
-    grouped = joined.groupBy(*KEYS, "StoreName", "TotalCostsEur", "PersonnelCostsEur", "OperatingCostsEur").agg(
-        F.sum("TotalRevenueEur").alias("TotalRevenueEur"),
-        F.sum("TotalGrossProfitEur").alias("TotalGrossProfitEur"),
-    )
-    figures = with_ratios(grouped.withColumn("NetProfitEur", F.col("TotalGrossProfitEur") - F.col("TotalCostsEur")))
+    figures = _with_cost_groups(totals, costs)
     return published(figures.select(*KEYS, "StoreName", *BASE, "NetProfitEur", *RATIOS))
 
 
+def sales_with_costs(sums: DataFrame, costs: DataFrame) -> DataFrame:
+    """Category totals with the cost rows of their month and store: a row for each spelling."""
+    return published(sums.join(costs.drop("StoreName"), list(KEYS)))
+
+
 def compare_groups(kpis: DataFrame, groups: DataFrame) -> DataFrame:
     """Store groups per month: amounts summed over the members, ratios computed anew."""
     members = groups.select(F.col("id").alias("IdStore"), F.col("group").alias("StoreGroup"))

@@ -25,6 +25,10 @@ def monthly_rent(locations: DataFrame, stores: DataFrame, store_ids=None) -> Dat
 
 
 def with_size(kpis: DataFrame, locations: DataFrame, default: int = DEFAULT_AREA) -> DataFrame:
-    """Add the area of each store as `size_m2`; a store without a known area counts as 1 m²."""
-    areas = locations.select(F.col("ID_STORE").alias("store_id"), F.col("LOC_SIZE_M2").alias("size_m2"))
+    """Add the area of each store as `size_m2`; a store without a known area counts as 1 m².
+
+    Of several rows of a store the last one counts, in the order of area, rent and side costs.
+    """
+    order = F.struct("LOC_SIZE_M2", "LOC_RENT_EUR_M2", "LOC_NEBENKOSTEN_EUR")
+    areas = locations.groupBy(F.col("ID_STORE").alias("store_id")).agg(F.max(order)["LOC_SIZE_M2"].alias("size_m2"))
     return kpis.join(areas, "store_id", "left").withColumn("size_m2", F.coalesce("size_m2", F.lit(default)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Matches up to this number become a local table of known size.
+FEW = 10_000
+
 
 def _substrings(df: DataFrame, text: str, name: str, longest: Column) -> DataFrame:
     """Add the substrings of a text column up to a length, the empty one included, row by row."""
@@ -28,9 +31,12 @@ def match_name(
     distinct names are matched by equality instead of comparing every pair, and the result
     is joined back by name. The distinct names come from `df`, which is read once more for
     them, or from `names`, any table whose first column holds every name that can occur.
+    Matches of such a table are found beforehand when there are few, so that their size is
+    known when the join is planned and big rows need no shuffle.
     """
     entries = registry.select(F.lower("name").alias("entry"), F.struct("ord", "name", "short").alias("hit"))
-    known = df.select(column) if names is None else names
+    given_names = names is not None
+    known = names if given_names else df.select(column)
     names = known.select(F.lower(known[known.columns[0]]).alias("given")).where("given IS NOT NULL").distinct()
     longest = entries.agg(F.max(F.length("entry"))).scalar()
 
@@ -43,6 +49,10 @@ def match_name(
         .agg(F.min("hit").alias("hit"))
         .select("given", F.col("hit.name").alias(f"{prefix}_name"), F.col("hit.short").alias(f"{prefix}_short"))
     )
+    if given_names:
+        few = best.limit(FEW + 1).toArrow()
+        if few.num_rows <= FEW:
+            best = df.sparkSession.createDataFrame(few)
     key = f"{prefix}_key"
     return df.withColumn(key, F.lower(column)).join(best.withColumnRenamed("given", key), key, "left").drop(key)
 

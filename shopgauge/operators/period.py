@@ -103,7 +103,7 @@ def require_stores(kpis: DataFrame, minimum: int = 2) -> DataFrame:
 
 def monthly_series(export: DataFrame, registry: DataFrame, column: str, name: str) -> DataFrame:
     """One measure per registered store and month."""
-    sums = export.groupBy("IdStore", "Monat").agg(F.sum(column).alias(name))
+    sums = export.groupBy("IdStore", "Monat").agg(or_zero(F.sum(column)).alias(name))
     stores = registry.select(F.col("id").alias("IdStore"), F.col("name").alias("store_name"))
     return sums.join(stores, "IdStore").select(
         F.col("IdStore").alias("store_id"), "store_name", F.col("Monat").alias("period"), name

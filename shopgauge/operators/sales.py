@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopgauge.config import CategoryRules
-from shopgauge.functions.expressions import classify, gross_profit, money_mean, month_key, month_start
+from shopgauge.functions.expressions import CATEGORY, classified, gross_profit, money_mean, month_key, month_start
 
 MEASURES = ("TotalRevenueEur", "TotalGrossProfitEur")
 
@@ -21,13 +21,19 @@ def where_stores(df: DataFrame, ids=None, column: str = "ID_STORE") -> DataFrame
 
 
 def sales_lines(sales: DataFrame, rules: CategoryRules, store_ids=None) -> DataFrame:
-    """Sales lines with category and gross profit; the month is still a date, no store name."""
-    return where_stores(sales, store_ids).select(
+    """Sales lines with category and gross profit; the month is still a date, no store name.
+
+    Lines that come with a category keep it.
+    """
+    lines = where_stores(sales, store_ids)
+    if CATEGORY not in lines.columns:
+        lines = classified(lines, "ProduktBeschreibung", rules)
+    return lines.select(
         month_start(F.col("ID_CALMONTH")).alias("MonthStart"),
         F.col("ID_STORE").alias("IdStore"),
         F.col("ID_MATERIAL").alias("IdMaterial"),
         F.col("ProduktBeschreibung").alias("MaterialDescription"),
-        classify(F.col("ProduktBeschreibung"), rules).alias("BenchmarkCategory"),
+        CATEGORY,
         F.col("RevenueEUR").alias("RevenueEur"),
         gross_profit(F.col("RevenueEUR"), F.col("TransferPriceEUR")).alias("GrossProfitEur"),
         F.col("TransferPriceEUR").alias("TransferCostEur"),
@@ -37,7 +43,7 @@ def sales_lines(sales: DataFrame, rules: CategoryRules, store_ids=None) -> DataF
 
 
 def with_store_name(df: DataFrame, stores: DataFrame) -> DataFrame:
-    """Inner join of the store master on the id (unique in the master)."""
+    """Inner join of the store master on the id. An id with several names gives a row for each, as a join per line would."""
     master = stores.select(F.col("SALESORG_ID").alias("IdStore"), F.col("STORE_LOCATION").alias("StoreName"))
     return df.join(master, "IdStore")
 

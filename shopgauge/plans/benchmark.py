@@ -6,10 +6,15 @@ from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shopgauge.config import ALL_PERIODS, MEMBER_STORES, PRESET_V2, SINGLE_STORE, Preset
+from shopgauge.functions.expressions import month_key
 from shopgauge.operators import category, costs as cost_ops, kpi as kpi_ops, period as period_ops, sales as sales_ops
 
+#: What `stored` keeps: sums per month start.
+STORED = ("category_sums", "detail_sums")
+
 
 class Sources(Protocol):
     """The four source tables and the store registry, each a DataFrame."""
@@ -38,7 +43,9 @@ class Benchmark:
 
     @cached_property
     def lines(self) -> DataFrame:
-        sales = period_ops.source_period(self.sources.sales, self.period)
+        by_part = getattr(self.sources, "classified_sales", None)  # sources that know descriptions from a dimension
+        sales = by_part(self.preset.rules) if by_part else self.sources.sales
+        sales = period_ops.source_period(sales, self.period)
         return sales_ops.sales_lines(sales, self.preset.rules, self.preset.store_ids)
 
     @cached_property
@@ -105,19 +112,34 @@ class Benchmark:
     def category_totals(self) -> DataFrame:
         return category.category_totals(self.sales_agg, self.period)
 
+    @cached_property
+    def detail_sums(self) -> DataFrame:
+        return cost_ops.detail_sums(self._costs, self.preset.store_ids)
+
     def stored(self, folder: str) -> Benchmark:
         """Write the monthly sums to a shared folder and go on from there.
 
         The facts are then scanned once for any number of figures, instead of once per
         figure. The sums have a row per month, store and category, whatever the facts hold,
-        and, being files, they outlive lost executors.
+        and, being files in folders by month, they outlive lost executors. A benchmark of one
+        period replaces the folder of that month only, so a month can be refreshed.
         """
+        for name in STORED:
+            frame = getattr(self, name).withColumn("Month", month_key(F.col("MonthStart"))).repartition("Month")
+            writer = frame.write.mode("overwrite").partitionBy("Month").option("partitionOverwriteMode", "dynamic")
+            writer.parquet(f"{folder.rstrip('/')}/{name}")
+        return self.opened(folder)
+
+    def opened(self, folder: str) -> Benchmark:
+        """Go on from sums that `stored` has written, without writing or reading the facts again."""
         copy = Benchmark(self.sources, self.preset, self.period)
-        for name in ("category_sums", "cost_sums_wide", "costs_detail"):
-            frame = getattr(self, name)
-            path = f"{folder.rstrip('/')}/{name}"
-            frame.write.mode("overwrite").parquet(path)
-            setattr(copy, name, frame.sparkSession.read.schema(frame.schema).parquet(path))
+        for name in STORED:
+            shape = getattr(self, name).schema.add("Month", "string")
+            frame = self.sources.sales.sparkSession.read.schema(shape).parquet(f"{folder.rstrip('/')}/{name}")
+            setattr(copy, name, period_ops.in_period(frame, self.period, "Month").drop("Month"))
+        costs = cost_ops.as_costs(copy.detail_sums)
         copy.store_totals = sales_ops.sum_categories(copy.category_sums)
-        copy.cost_sums = copy.cost_sums_wide.drop(*cost_ops.POSITIONS)
+        copy.cost_sums = cost_ops.cost_sums(costs, self.preset.buckets)
+        copy.cost_sums_wide = cost_ops.cost_sums_wide(costs, self.preset.buckets)
+        copy.costs_detail = sales_ops.published(copy.detail_sums)
         return copy

@@ -29,8 +29,9 @@ def load_settings(source: Mapping | str | Path) -> dict:
 def jdbc_options(settings: Mapping, name: str) -> dict[str, str]:
     """Reader options for one table, view or query of a SQL Server database.
 
-    `partition` = {column, lower, upper, count} splits a table into that many parallel reads;
-    without it a single task reads everything, which only suits small tables.
+    `partition` = {table: {column, lower, upper, count}} splits a table or a query (under its
+    text) into that many parallel reads. The fact tables need it, as a single task would read
+    them whole; `"single_reader": true` in the settings allows that for small ones.
     """
     host = settings["server"].replace(",", ":")
     options = {
@@ -39,9 +40,15 @@ def jdbc_options(settings: Mapping, name: str) -> dict[str, str]:
         "password": settings["password"],
         "fetchsize": str(settings.get("fetchsize", 10_000)),
     }
-    is_query = name.lstrip().lower().startswith("select")
-    partition = None if is_query else settings.get("partition", {}).get(name)
-    if is_query:
+    is_query = name.lstrip().lower().startswith(("select", "with"))
+    partition = settings.get("partition", {}).get(name)
+    if not partition and name.rpartition(".")[2] in (SALES_TABLE, COSTS_TABLE) and not settings.get("single_reader"):
+        raise ValueError(f"{name} is read by one task unless the settings give it a partition")
+    if is_query and partition:
+        if name.lstrip().lower().startswith("with"):
+            raise ValueError("a query that starts with WITH can't be split; give its view a name")
+        options["dbtable"] = f"({name}) split_query"
+    elif is_query:
         options["query"] = name
     else:
         schema = settings.get("schema", "dbo")

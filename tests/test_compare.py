@@ -227,6 +227,47 @@ def test_category_by_store(v2):
                  "store_id", "category").keys() == {(5, "Race Bikes"), (3, "City Bikes")}
 
 
+def test_report_order(v2):
+    keys = [(r.Monat, r.Filialgruppe) for r in v2.export_v2.collect()]
+    got = [(r.Monat, r.Filialgruppe) for r in reports.profitability_report(v2.export_v2).collect()]
+    assert got == sorted(sorted(keys, key=lambda k: k[1]), key=lambda k: k[0], reverse=True)
+    assert [(r.Monat, r.Filialgruppe) for r in reports.trend_report(v2.export_v2).collect()] == sorted(keys)
+
+
+def test_repeated_areas_count_once(spark, kpis, sources):
+    more = sources.locations.where("ID_STORE = 5").selectExpr("ID_STORE", "CAST(2000 AS DECIMAL(12,2)) LOC_SIZE_M2", "LOC_RENT_EUR_M2", "LOC_NEBENKOSTEN_EUR")
+    got = keyed(location.with_size(kpis, more.unionByName(sources.locations)), "store_id")
+    assert {k: v["size_m2"] for k, v in got.items()} == {14: 1000, 5: 2000, 3: 800}
+    none = keyed(location.with_size(kpis, sources.locations.where("ID_STORE = 5")), "store_id")
+    assert {k: v["size_m2"] for k, v in none.items()} == {14: 1, 5: 1240, 3: 1}
+
+
+def test_scores_do_not_depend_on_the_order(kpis, sources):
+    rows = [sorted(map(str, compare.scorecard(kpis.repartition(n, "store_id"), sources.locations).collect())) for n in (1, 3)]
+    assert rows[0] == rows[1]
+
+
+def test_categories_without_amounts(spark):
+    totals = spark.createDataFrame([("m", 1, "s", "A", None, 1), ("m", 1, "s", "B", 5.0, 1), ("m", 1, "s", "C", 9.0, 1)],
+                                   "IdCalmonthStd string, IdStore int, StoreName string, BenchmarkCategory string, TotalRevenueEur double, TotalQuantity int")
+    best = category.best_worst(category.category_totals(totals)).first()
+    assert (best.best_category, best.best_revenue, best.worst_category) == ("C", 9.0, "A")
+
+
+def test_several_spellings(spark, sources):
+    from types import SimpleNamespace
+
+    from tests.conftest import costs_frame
+
+    def rows(first, second):
+        costs = costs_frame(spark, [("2024-09", 14, "Monthly Rent", first, "Rosenheim"), ("2024-09", 14, "Monthly Rent", second, "ROS")])
+        b = Benchmark(SimpleNamespace(**{**vars(sources), "costs": costs}))
+        return sorted(float(r.TotalRevenueEur) for r in b.kpi.collect()), sorted(float(r.UmsatzEur) for r in b.export_v2.collect())
+
+    assert rows(10, 5) == ([13097.0] * 2, [13097.0] * 4)
+    assert rows(10, 10) == ([26194.0], [26194.0] * 2)
+
+
 def test_reports(v2):
     first = reports.profitability_report(v2.export_v2).first()
     assert (first.Monat, first.Filialgruppe) == ("2024-10", "Freiburg im Breisgau")

