@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
                 "signature": pa.array([signature(x, count).tobytes() if len(x) else None for x in sets], pa.binary()),
             })
 
-    return _texts(docs).mapInArrow(sketch, "doc_id long, key_a long, key_b long, n_shingles long, name binary, signature binary")
+    return _texts(docs).mapInArrow(sketch, f"doc_id long, {KEYS[0]} long, {KEYS[1]} long, n_shingles long, name binary, signature binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:

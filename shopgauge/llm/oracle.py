@@ -48,5 +48,73 @@ WITH rows_ AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, text_sha256
 FROM rows_ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
+""",
+    "op3_minhash": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM words UNION SELECT r.doc_id, b FROM reach r JOIN ways ON r.other = a
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+""",
+    "op6_automata": rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM words, unnest(range(1, len(w) - 11)) AS t(i)
+), firsts AS (
+  SELECT k, min(doc_id) AS keeper FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (k) WHERE keeper < doc_id
+), kept AS (
+  SELECT doc_id, p, words.w[p] AS word, gone.p IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p FROM words) places JOIN words USING (doc_id) LEFT JOIN gone USING (doc_id, p)
+)
+SELECT words.doc_id, count(p)::BIGINT AS n_words, (count(p) FILTER (WHERE gone))::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id) GROUP BY words.doc_id
+""",
+    "op10_simhash": rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents
+), bench AS (
+  SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark
+), item AS (
+  SELECT item_id, len(w) AS n, array_to_string(w[j:j + 4], ' ') AS k FROM bench, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(j)
+), bag AS (
+  SELECT *, sum(c) OVER (PARTITION BY item_id) AS total FROM (SELECT item_id, n, k, count(*) AS c FROM item GROUP BY item_id, n, k)
+), places AS (
+  SELECT doc_id, len(w) AS m, p - 1 AS p, array_to_string(w[p:p + 4], ' ') AS k
+  FROM texts, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(p) WHERE len(w) > 0
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, n, total, m, least(total, greatest(m - 4, 1)) AS span, least(p, greatest(m - n, 0)) AS s
+  FROM places JOIN bag USING (k)
+), held AS (
+  SELECT starts.doc_id, starts.item_id, starts.n, starts.total, span, s, any_value(b.c) AS ic, count(*) AS dc
+  FROM starts JOIN places USING (doc_id) JOIN bag b ON b.item_id = starts.item_id AND b.k = places.k
+  WHERE p >= s AND p < s + span GROUP BY starts.doc_id, starts.item_id, starts.n, starts.total, span, s, places.k
+), weighed AS (
+  SELECT doc_id, item_id, n, s, sum(least(ic, dc)) AS shared, any_value(total) AS total, any_value(span) AS span
+  FROM held GROUP BY doc_id, item_id, n, s
+), best AS (
+  SELECT *, shared::DOUBLE / (total + span - shared)::DOUBLE AS similarity FROM weighed WHERE 100 * shared >= 75 * (total + span - shared)
+)
+SELECT doc_id, item_id, arg_min(s, (-similarity, s))::INTEGER AS start_word, any_value(n)::INTEGER AS n_words, max(similarity) AS similarity
+FROM best GROUP BY doc_id, item_id
 """,
 }

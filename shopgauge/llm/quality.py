@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
 
     # bounded by fit_rows, so one task; the model has a fixed size
     model = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(learn, "at long, w double").toPandas()
-    return model.sort_values("at")["w"].to_numpy()
+    return model.sort_values("at")["w"].to_numpy() if len(model) else np.zeros((1 << s.bits) + 1)
 
 
 def scores(raw: np.ndarray, at: np.ndarray, model: np.ndarray, bits: int) -> np.ndarray:

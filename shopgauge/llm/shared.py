@@ -35,7 +35,7 @@ def whole_text() -> Column:
 
 
 #: Two hashes that stand for a whole row; rows that agree in both are interchangeable.
-KEYS = ["key_a", "key_b"]
+KEYS = ["_row_key_a", "_row_key_b"]
 
 
 def row_keys(docs: DataFrame) -> list[Column]:
