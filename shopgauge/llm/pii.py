@@ -27,7 +27,8 @@ _HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^ \t-\r]+")
+_SIGN = re.compile(r"[0-9@_#/\\]")
+_GAP = frozenset(" \t\n\v\f\r")
 _PUNCTUATION = ".,;:!?()[]{}<>\"'|"
 
 
@@ -81,17 +82,32 @@ def _context(text: str, begin: int, end: int) -> Iterator[tuple[int, str]]:
     """The patterns around a span; none across the edge of the text."""
     left = text[max(0, begin - 80) : begin].lower().split()
     right = text[end : end + 80].lower().split()
-    if left and begin and text[begin - 1] in " \t\n\v\f\r":
+    if left and begin and text[begin - 1] in _GAP:
         yield 2, left[-1]
         if len(left) > 1:
             yield 0, " ".join(left[-2:])
-    if len(right) > 1 and end < len(text) and text[end] in " \t\n\v\f\r":
+    if len(right) > 1 and end < len(text) and text[end] in _GAP:
         yield 1, " ".join(right[:2])
 
 
-def _looks(word: str) -> bool:
-    """An identifier has a digit, or a sign inside that prose has not."""
-    return any(c.isdigit() for c in word) or any(c in "@_#/\\" for c in word[1:-1])
+def _identifiers(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a digit, or with a sign inside that prose has not, without punctuation at their ends."""
+    done = 0
+    for m in _SIGN.finditer(text):
+        if m.start() < done:
+            continue
+        begin, end = m.start(), m.end()
+        while begin > done and text[begin - 1] not in _GAP:
+            begin -= 1
+        while end < len(text) and text[end] not in _GAP:
+            end += 1
+        done = end
+        while begin < end and text[begin] in _PUNCTUATION:
+            begin += 1
+        while end > begin and text[end - 1] in _PUNCTUATION:
+            end -= 1
+        if any(c.isdigit() for c in text[begin:end]) or _SIGN.search(text, begin + 1, end - 1):
+            yield begin, end
 
 
 def seeds(rows: DataFrame) -> DataFrame:
@@ -140,32 +156,13 @@ class Matcher:
             for side, words in _context(text, begin, end):
                 if kind in self.of.get((side, words), ()):
                     yield kind, side, words, text[begin:end], begin, end
-        words = [(m.start(), m.end()) for m in _WORD.finditer(text)] if self.of else []
-        lower = text.lower()
-        if len(lower) != len(text):  # a few letters grow when lowered
-            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         at = 0
-        for i, (a, b) in enumerate(words):
-            word = text[a:b]
-            if not _looks(word):
-                continue
-            begin, end = a, b
-            while begin < end and text[begin] in _PUNCTUATION:
-                begin += 1
-            while end > begin and text[end - 1] in _PUNCTUATION:
-                end -= 1
+        for begin, end in _identifiers(text) if self.of else ():
             while at < len(taken) and taken[at][1] <= begin:
                 at += 1
-            if begin >= end or any(x < end and begin < y for x, y, _ in taken[at : at + 8]):
+            if any(x < end and begin < y for x, y, _ in taken[at : at + 8]):
                 continue
-            around = []
-            if i and begin == a:
-                around.append((2, lower[words[i - 1][0] : words[i - 1][1]]))
-                if i > 1:
-                    around.append((0, " ".join(lower[x:y] for x, y in words[i - 2 : i])))
-            if i + 2 < len(words) and end == b:
-                around.append((1, " ".join(lower[x:y] for x, y in words[i + 1 : i + 3])))
-            for side, pattern in around:
+            for side, pattern in _context(text, begin, end):
                 for kind in self.of.get((side, pattern), ()):
                     yield kind, side, pattern, text[begin:end], begin, end
 
