@@ -74,10 +74,9 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     axes = axes.withColumn("size_step", grid_of_size(F.col("size")))
     placed = with_curve(axes, ["lang_step", "source_step", "size_step"], "curve").withColumn("one", F.lit(1))
     ranked = running_total(placed, "one", [], ["curve", "place", "doc_id", *KEYS], "rank")
-    counted = rows.agg(F.count("*").alias("n"))
-    cut = ranked.crossJoin(F.broadcast(counted)).withColumn("_at", (F.col("rank") - 1) * shards)
-    cut = cut.withColumn("shard", F.expr("_at div n").cast("int"))
-    start = F.expr(f"(cast(shard as bigint) * n + {shards - 1}) div {shards}")
+    n = max(1, rows.count())
+    cut = ranked.withColumn("shard", F.expr(f"((rank - 1) * {shards}) div {n}").cast("int"))
+    start = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
     return cut.select(
         *KEYS, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "curve", "shard",
         (F.col("rank") - 1 - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

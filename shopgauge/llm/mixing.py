@@ -66,10 +66,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     copies = copies.withColumn("asked", (F.col("size") > 0) & (end - F.col("words") < F.col("target")))
     copies = copies.where(F.col("asked") | (F.col("copy") == 0)).withColumn("finish", F.when(F.col("asked"), end / F.col("target")).otherwise(0.0))
     copies = copies.withColumn("load", F.when(F.col("asked"), F.col("words")).otherwise(0))
-    total = by_source.agg(F.sum("source_size").alias("total"))
-    line = running_total(copies.crossJoin(F.broadcast(total)), "load", [], ["finish", "source_no", "place", "doc_id", "digest", *KEYS, "copy"], "sent")
+    total = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    line = running_total(copies, "load", [], ["finish", "source_no", "place", "doc_id", "digest", *KEYS, "copy"], "sent")
     keys = [*KEYS, "doc_id", "source", "digest", "size", "rows", "source_size", "target"]
-    return line.groupBy(*keys).agg(F.sum((F.col("asked") & (F.col("sent") <= F.col("total"))).cast("bigint")).alias("copies"))
+    return line.groupBy(*keys).agg(F.sum((F.col("asked") & (F.col("sent") <= total)).cast("bigint")).alias("copies"))
 
 
 def mixed_words(docs: DataFrame) -> DataFrame:

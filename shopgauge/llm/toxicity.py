@@ -21,7 +21,7 @@ BREAK = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 class Settings:
     """`fit_rows`: the most labelled rows a model is fitted on, those with the smallest hash of the id."""
 
-    fit_rows: int = 12_000
+    fit_rows: int = 20_000
     bits: int = 20
     alpha: float = 3.0
     beta: float = 1.0
