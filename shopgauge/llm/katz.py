@@ -225,7 +225,7 @@ def scores(docs: DataFrame, held_out: int = 2, divisor: int = 7) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_remainder(divisor) == held_out).alias("held_out"), whole_text().alias("text"))
     batches, size = batched(rows)
     bits = shard_bits(size // 6)
-    counts = stored(counted(count_asks(batches, bits)))
+    counts = stored(counted(count_asks(batches, bits)), "kind")
     words, pairs = totals(counts, WORDS), totals(counts, PAIRS)
     answers = counts.select("batch", "kind", "shard", "overall", "first")
     weights = weighted(context_asks(answered(batches, answers, "kind", "overall", "first"), bits, words, pairs))
