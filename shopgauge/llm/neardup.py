@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = stored(sketches(docs, s))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *KEYS))
     sets = rows.where("name is not null").groupBy("name").agg(first.alias("first"), F.min("signature").alias("signature"))
-    sets = stored(sets.select("name", *(f"first.{k}" for k in KEYS), "signature"))
+    sets = stored(sets.select("name", "first.doc_id", *(f"first.{k}" for k in KEYS), "signature"))
     buckets = stored(buckets_of(sets, s))
     wanted = buckets.select("name").distinct().join(sets, "name").select("name", *KEYS)
     found = _texts(docs).join(wanted, KEYS)
@@ -282,8 +282,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     more = rest_links(members.join(open_, "bucket"), sets, texts, s)
     roots = components(links.union(more))
 
-    known = rows.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", *KEYS, "n_shingles", F.coalesce("root", "name").alias("root"))
-    ids = known.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least_id"))
-    out = known.join(ids, F.col("root") == F.col("of"), "left")
+    # by set, not by document, and from tables, so that Spark can split the rows of a large component or group of copies
+    of_set = sets.join(roots, F.col("name") == F.col("node"), "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
+    of_set = stored(of_set)
+    ids = stored(of_set.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("least_id")))
+    placed = stored(of_set.join(ids, F.col("root") == F.col("of")).select(F.col("name").alias("of_name"), "root", "least_id"))
+    out = rows.join(placed, F.col("name") == F.col("of_name"), "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "root", *KEYS)
