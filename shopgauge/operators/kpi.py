@@ -40,9 +40,14 @@ def _with_cost_groups(totals: DataFrame, costs: DataFrame) -> DataFrame:
     spelling, come along in `spellings`; a set that n spellings share counts the sales n times.
     """
     rest = [c for c in costs.columns if c not in (*KEYS, "StoreName")]
-    gathered = costs.groupBy(*KEYS).agg(F.collect_list(F.struct(*rest)).alias("spellings"))
+    gathered = costs.groupBy(*KEYS).agg(F.collect_list(F.struct(*rest)).alias("spellings")).select(
+        *[F.col(k).alias(f"cost_{k}") for k in KEYS], F.when(F.col("MonthStart").isNotNull(), F.col("spellings")).alias("spellings")
+    )
+    # Null-safe, as an equality would have every fact row's month computed once more for a null check at the scan;
+    # a missing month has no spellings and so no rows.
+    same = F.col("MonthStart").eqNullSafe(F.col("cost_MonthStart")) & (F.col("IdStore") == F.col("cost_IdStore"))
     sets = F.transform("spellings", lambda s: F.struct(*[s[c].alias(c) for c in COST_SET]))
-    joined = totals.join(gathered, list(KEYS)).withColumn("sets", sets).withColumn("set", F.explode(F.array_distinct("sets")))
+    joined = totals.join(gathered, same).withColumn("sets", sets).withColumn("set", F.explode(F.array_distinct("sets")))
     times = F.size(F.filter("sets", lambda s: s.eqNullSafe(F.col("set"))))
     figures = joined.select(
         *KEYS,

@@ -254,6 +254,16 @@ def test_categories_without_amounts(spark):
     assert (best.best_category, best.best_revenue, best.worst_category) == ("C", 9.0, "A")
 
 
+def test_a_missing_month_has_no_key_figures(spark, sources):
+    from types import SimpleNamespace
+
+    def unknown(df):
+        return df.unionByName(df.limit(1).withColumn("ID_CALMONTH", F.lit(None).cast("date")))
+
+    more = Benchmark(SimpleNamespace(**{**vars(sources), "sales": unknown(sources.sales), "costs": unknown(sources.costs)}))
+    assert more.export_v2.count() == Benchmark(sources).export_v2.count() and more.sales_agg.where("IdCalmonthStd IS NULL").count() == 1
+
+
 def test_several_spellings(spark, sources):
     from types import SimpleNamespace
 

@@ -66,6 +66,11 @@ def test_facts_are_not_filtered_by_formatted_months(plans):
     assert [n for n, p in plans.items() if re.search(r"Condition : .*date_format\(", p)] == BY_KEY
 
 
+def test_facts_are_not_checked_for_computed_months(plans):
+    for name in ("export_v2", "kpi", "waterfall_view", "period_kpis_all", "scorecard"):
+        assert re.search(r"Condition : .*trunc\(", plans[name]) is None
+
+
 def test_texts_are_lowered_once_and_the_last_class_is_dropped(plans):
     text = plans["category_v2"]
     assert text.count("lower(p_name") == 1
