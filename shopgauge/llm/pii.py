@@ -13,12 +13,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopgauge.llm.shared import stored, whole_text
-from shopgauge.llm.words import pieces
+from shopgauge.llm.words import SAME, pieces, shingles, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,18 +31,20 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@_#/\\]")
 _GAP = frozenset(" \t\n\v\f\r")
 _PUNCTUATION = ".,;:!?()[]{}<>\"'|"
+#: of the sieve: 8 MB in all
+BITS = 26
+#: words counted in a task before their counts are handed on
+HELD = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
     """A pattern is two words before (side 0), two words after (1) or one word before an instance (2), in lower case.
 
-    share: a pattern must hold this share of its kind's seeds, so there are at most 4 * 3 / share patterns, and they
-    may be broadcast. rounds: of scoring. trust: the score that an instance needs; meets: how often a pattern must have
-    met seeds.
+    rounds: of scoring. trust: the score that a pattern needs; meets: how many different seeds a pattern must have met.
+    Patterns are stored under the hash of their words, their context; all that met enough seeds are kept.
     """
 
-    share: float = 0.002
     meets: int = 3
     rounds: int = 3
     trust: float = 0.8
@@ -110,153 +113,192 @@ def _identifiers(text: str) -> Iterator[tuple[int, int]]:
             yield begin, end
 
 
+def _hashes(contexts: list[str]) -> np.ndarray:
+    """64 bits for each text of one or two words."""
+    if not contexts:
+        return np.zeros(0, np.uint64)
+    flat, of = word_hashes(*text_bytes(pa.array(contexts, pa.large_string())), SAME)
+    out = flat[of[:-1]]
+    two = np.flatnonzero(np.diff(of) > 1)
+    out[two] = shingles(flat, 2)[of[two]]
+    return out
+
+
+def _occurrences(texts: list[str]) -> np.ndarray:
+    """The hashes of all words and of all pairs of words within a text."""
+    lowered = pa.array([" ".join(t.lower().split()) for t in texts], pa.large_string())
+    ones, of = word_hashes(*text_bytes(lowered), SAME)
+    across = np.unique(of[1:-1]) - 1
+    return np.concatenate([ones, np.delete(shingles(ones, 2), across[(across >= 0) & (across < len(ones) - 1)])])
+
+
 def seeds(rows: DataFrame) -> DataFrame:
-    """kind, side, pattern, instance, n: how often each base span stands in each pattern, counted within tasks first."""
+    """kind, side, context, instance: which base spans stand in which pattern, without repetitions within a piece."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found = Counter()
+            found = set()
             for text in piece.column("text").to_pylist():
                 for kind, begin, end in base_spans(text):
-                    for side, words in _context(text, begin, end):
-                        found[kind, side, words, text[begin:end]] += 1
+                    found.update((kind, side, words, text[begin:end]) for side, words in _context(text, begin, end))
             if found:
-                yield pa.RecordBatch.from_pylist([dict(kind=k, side=s, pattern=w, instance=i, n=n) for (k, s, w, i), n in found.items()])
+                kinds, sides, words, instances = map(list, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(sides, pa.int64()), pa.array(_hashes(words).view(np.int64)), pa.array(instances)], ["kind", "side", "context", "instance"])
 
-    return rows.mapInArrow(find, "kind long, side long, pattern string, instance string, n long")
+    return rows.mapInArrow(find, "kind long, side long, context long, instance string")
 
 
 def patterns_of(found: DataFrame, s: Settings) -> DataFrame:
-    """kind, side, pattern of those that hold a share of their kind's seeds: a bounded number."""
-    meets = found.groupBy("kind", "side", "pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("kinds_met"))
-    whole = meets.groupBy(F.col("kind").alias("_kind"), F.col("side").alias("_side")).agg(F.sum("n").alias("whole"))
-    held = meets.join(F.broadcast(whole), (F.col("kind") == F.col("_kind")) & (F.col("side") == F.col("_side")))
-    return held.where((F.col("n") >= s.share * F.col("whole")) & (F.col("kinds_met") >= s.meets)).select("kind", "side", "pattern")
-
-
-class Matcher:
-    """Finds words in the given patterns: {(side, words): [kind, ...]}."""
-
-    def __init__(self, patterns: dict[tuple[int, str], list[int]]):
-        self.of = patterns
-        self.ones = {words for side, words in patterns if side == 2}
-        self.twos = {tuple(words.split()) for side, words in patterns if side != 2}
-
-    def occurrences(self, text: str) -> Counter:
-        """How often the words of each pattern occur at all."""
-        words = text.lower().split()
-        found = Counter(w for w in words if w in self.ones)
-        found.update(" ".join(p) for p in zip(words, words[1:]) if p in self.twos)
-        return found
-
-    def candidates(self, text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, str, int, int]]:
-        """(kind, side, pattern, instance, begin, end) of identifiers outside the base spans, and of base spans in patterns."""
-        taken = sorted((b, e, k) for k, b, e in base)
-        for kind, begin, end in base:
-            for side, words in _context(text, begin, end):
-                if kind in self.of.get((side, words), ()):
-                    yield kind, side, words, text[begin:end], begin, end
-        at = 0
-        for begin, end in _identifiers(text) if self.of else ():
+    """kind, side, context of all patterns that met enough different seeds, however rare they are."""
+    met = found.groupBy("kind", "side", "context").agg(F.countDistinct("instance").alias("met"))
+    return met.where(F.col("met") >= s.meets).select("kind", "side", "context")
+
+
+def sieve(patterns: DataFrame) -> np.ndarray:
+    """A bit for each value of the first BITS bits of a context, whether a pattern has it: of the same size for any number.
+
+    It spares tasks from asking about contexts that are no pattern. What passes is joined with the table, which decides.
+    """
+    bit = F.shiftrightunsigned("context", 64 - BITS)
+    parts = patterns.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    for row in parts.toLocalIterator():
+        out[row.part << 12 : row.part + 1 << 12] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    bit = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _candidates(texts: list[str], base: list[list[tuple[int, int, int]]], bits: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+    """(text, kind, side, context, begin, end) of base spans and, without a kind, of identifiers outside them, if the context passes."""
+    found, contexts = [], []
+    for i, (text, own) in enumerate(zip(texts, base, strict=True)):
+        spans = [(kind, begin, end) for kind, begin, end in own]
+        taken, at = sorted((b, e) for _, b, e in own), 0
+        for begin, end in _identifiers(text):
             while at < len(taken) and taken[at][1] <= begin:
                 at += 1
-            if any(x < end and begin < y for x, y, _ in taken[at : at + 8]):
-                continue
-            for side, pattern in _context(text, begin, end):
-                for kind in self.of.get((side, pattern), ()):
-                    yield kind, side, pattern, text[begin:end], begin, end
-
+            if not any(x < end and begin < y for x, y in taken[at : at + 8]):
+                spans.append((None, begin, end))
+        for kind, begin, end in spans:
+            for side, words in _context(text, begin, end):
+                found.append((i, kind, side, begin, end))
+                contexts.append(words)
+    hashes = _hashes(contexts)
+    for j in np.flatnonzero(_passing(hashes, bits)).tolist():
+        i, kind, side, begin, end = found[j]
+        yield i, kind, side, int(hashes[j : j + 1].view(np.int64)[0]), begin, end
 
-def edges(rows: DataFrame, patterns: dict) -> DataFrame:
-    """kind, side, pattern, instance, known, n: all identifiers that stand in the patterns, known or not.
 
-    The empty instance stands for the occurrences of a pattern that meet no identifier.
+def edges(rows: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """kind, side, context, instance, known, n: all identifiers that stand in the patterns, known or not; and the patterns
+    with `whole`, how often their words occur at all.
     """
+    bits = sieve(patterns)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(patterns)
-        for piece in pieces(batches):
-            found, everywhere = Counter(), Counter()
-            for text in piece.column("text").to_pylist():
-                base = base_spans(text)
-                inside = {(b, e) for _, b, e in base}
-                everywhere.update(matcher.occurrences(text))
-                for kind, side, words, instance, begin, end in matcher.candidates(text, base):
-                    found[kind, side, words, instance, (begin, end) in inside] += 1
-            met = Counter()
-            for (kind, side, words, _, _), n in found.items():
-                met[kind, side, words] += n
-            for (side, words), kinds in patterns.items():
-                for kind in kinds:
-                    if (plain := everywhere[words] - met[kind, side, words]) > 0:
-                        found[kind, side, words, "", False] = plain
-            if found:
-                yield pa.RecordBatch.from_pylist([dict(kind=k, side=s, pattern=w, instance=i, known=x, n=n) for (k, s, w, i, x), n in found.items()])
+        held, size = [], 0
 
-    return rows.mapInArrow(find, "kind long, side long, pattern string, instance string, known boolean, n long")
+        def everywhere() -> pa.RecordBatch:
+            words = np.concatenate([w for w, _ in held])
+            order = np.argsort(words, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(words[order]) != 0]))
+            n = np.add.reduceat(np.concatenate([n for _, n in held])[order], first)
+            none = pa.nulls(len(first), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(words[order][first].view(np.int64)), pa.nulls(len(first), pa.string()), pa.array(n)], names)
 
+        for piece in pieces(batches):
+            texts = piece.column("text").to_pylist()
+            words = _occurrences(texts)
+            held.append(np.unique(words[_passing(words, bits)], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield everywhere()
+                held, size = [], 0
+            found = Counter((kind, side, context, texts[i][begin:end]) for i, kind, side, context, begin, end in _candidates(texts, [base_spans(t) for t in texts], bits))
+            if found:
+                own, side, context, instance = map(list, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(side, pa.int64()), pa.array(context, pa.int64()), pa.array(instance, pa.string()), pa.array(list(found.values()), pa.int64())], names)
+        if size:
+            yield everywhere()
+
+    names = ["own", "side", "context", "instance", "n"]
+    marks = stored(rows.mapInArrow(find, "own long, side long, context long, instance string, n long"))
+    words = marks.where("side is null").groupBy("context").agg(F.sum("n").alias("anywhere"))
+    met = stored(marks.where("side is not null").groupBy("own", "side", "context", "instance").agg(F.sum("n").alias("n")))
+    graph = stored(met.join(patterns, ["side", "context"]).where("own is null or own = kind").select("kind", "side", "context", "instance", F.col("own").isNotNull().alias("known"), "n"))
+    # not below what it meets: words of 80 characters or more are cut in contexts
+    least = graph.groupBy("kind", "side", "context").agg(F.sum("n").alias("least"))
+    whole = patterns.join(words, "context", "left").join(least, ["kind", "side", "context"])
+    return graph, stored(whole.select("kind", "side", "context", F.greatest("least", "anywhere").alias("whole")))
+
+
+def scored(graph: DataFrame, patterns: DataFrame, s: Settings) -> DataFrame:
+    """kind, side, context, score after the rounds.
+
+    An instance that is a base span has trust 1, any other one minus the product, over its patterns, of one minus their
+    score. A pattern's score is the mean trust over all its occurrences, 0 where they meet none. Rounds begin with trust 0.
+    """
+    keys = ["kind", "side", "context"]
 
-def scored(graph: DataFrame, s: Settings) -> DataFrame:
-    """kind, side, pattern, score after the rounds.
+    def scores(of: DataFrame) -> DataFrame:
+        good = of.groupBy(*keys).agg(F.sum(F.col("trust") * F.col("n")).alias("good"))
+        return patterns.join(good, keys).select(*keys, (F.col("good") / F.col("whole")).alias("score"))
 
-    An instance that is a base span has trust 1, the empty one 0, any other one minus the product, over its patterns,
-    of one minus their score. A pattern's score is the mean trust of all it meets. Rounds begin with trust 0.
-    """
-    keys = ["kind", "side", "pattern"]
-    graph = stored(graph.groupBy(*keys, "instance", "known").agg(F.sum("n").alias("n")))
-    mean = F.sum(F.col("trust") * F.col("n")) / F.sum("n")
     of = graph.withColumn("trust", F.col("known").cast("double"))
     for _ in range(s.rounds):
-        again = graph.join(of.groupBy(*keys).agg(mean.alias("score")), keys)
+        again = graph.join(scores(of), keys)
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         trust = again.groupBy("kind", "instance").agg((1 - doubt).alias("trust"))
-        given = F.when(F.col("known"), 1.0).when(F.col("instance") == "", 0.0).otherwise(F.col("trust"))
+        given = F.when(F.col("known"), 1.0).otherwise(F.col("trust"))
         of = stored(again.join(trust, ["kind", "instance"]).withColumn("trust", given).drop("score"))
-    return of.groupBy(*keys).agg(mean.alias("score"))
+    return scores(of)
 
 
-def learned(docs: DataFrame, s: Settings = Settings()) -> dict[tuple[int, str], list[int]]:
-    """The trusted patterns, learned from all documents: {(side, words): [kind, ...]}, at most 12 / share of them."""
+def learned(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """kind, side, context of the trusted patterns, learned from all documents: a stored table, of any number."""
     rows = docs.select(whole_text().alias("text"))
-    frequent = _as_dict(patterns_of(stored(seeds(rows)), s))
-    if not frequent:
-        return {}
-    trusted = scored(edges(rows, frequent), s).where(F.col("score") >= s.trust)
-    return _as_dict(trusted)
+    patterns = stored(patterns_of(seeds(rows), s))
+    if patterns.isEmpty():
+        return patterns
+    return stored(scored(*edges(rows, patterns), s).where(F.col("score") >= s.trust).select("kind", "side", "context"))
 
 
-def _as_dict(patterns: DataFrame) -> dict[tuple[int, str], list[int]]:
-    out: dict[tuple[int, str], list[int]] = {}
-    for row in sorted(patterns.select("kind", "side", "pattern").toLocalIterator()):
-        out.setdefault((row.side, row.pattern), []).append(row.kind)
-    return out
-
-
-def found_spans(docs: DataFrame, patterns: dict[tuple[int, str], list[int]]) -> DataFrame:
+def found_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, base, more: arrays of (kind, begin, end, text) by kind and begin; `more` are what patterns find beyond the base.
 
     Null texts are empty and have no span; repeated rows have the same; an identifier read as several kinds gets the
     first. Where a word follows or precedes a trusted pattern and looks like an identifier, it is a span of its kind.
+    Rows ask about the contexts of their identifiers, and the join with the patterns answers.
     """
+    bits = sieve(patterns)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(patterns)
         for piece in pieces(batches):
-            base, more = [], []
-            for text in piece.column("text").to_pylist():
-                own = base_spans(text)
-                inside = {(b, e) for _, b, e in own}
-                new: dict[tuple[int, int], int] = {}
-                for kind, _, _, _, begin, end in matcher.candidates(text, own) if patterns else ():
-                    if (begin, end) not in inside:
-                        new[begin, end] = min(kind, new.get((begin, end), kind))
-                base.append([dict(kind=KINDS[k], begin=b, end=e, text=text[b:e]) for k, b, e in own])
-                more.append([dict(kind=KINDS[k], begin=b, end=e, text=text[b:e]) for k, b, e in sorted((k, b, e) for (b, e), k in new.items())])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(base, kind), pa.array(more, kind)], ["doc_id", "base", "more"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+            texts = piece.column("text").to_pylist()
+            base = [base_spans(t) for t in texts]
+            asks = [[] for _ in texts]
+            for i, kind, side, context, begin, end in _candidates(texts, base, bits):
+                if kind is None:
+                    asks[i].append(dict(side=side, context=context, begin=begin, end=end, text=texts[i][begin:end]))
+            spans = [[dict(kind=KINDS[k], begin=b, end=e, text=t[b:e]) for k, b, e in own] for t, own in zip(texts, base, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(spans, of_base), pa.array(asks, of_asks)], ["doc_id", "base", "asks"])
+
+    place = [("begin", pa.int64()), ("end", pa.int64()), ("text", pa.string())]
+    of_base = pa.list_(pa.struct([("kind", pa.string()), *place]))
+    of_asks = pa.list_(pa.struct([("side", pa.int64()), ("context", pa.int64()), *place]))
     span = "array<struct<kind: string, begin: bigint, end: bigint, text: string>>"
-    return rows.mapInArrow(find, f"doc_id long, base {span}, more {span}")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    rows = rows.mapInArrow(find, f"doc_id long, base {span}, asks array<struct<side: bigint, context: bigint, begin: bigint, end: bigint, text: string>>")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    asks = rows.select("row", F.explode("asks").alias("ask")).select("row", "ask.*")
+    told = asks.join(patterns, ["side", "context"]).groupBy("row", "begin", "end", "text").agg(F.min("kind").alias("kind"))
+    more = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "begin", "end", "text"))).alias("more"))
+    named = F.transform("more", lambda x: F.struct(F.get(F.array(*map(F.lit, KINDS)), x["kind"].cast("int")).alias("kind"), x["begin"].alias("begin"), x["end"].alias("end"), x["text"].alias("text")))
+    return rows.join(more, "row", "left").select("doc_id", "base", F.coalesce(named, F.array().cast(span)).alias("more"))
 
 
 def personal_data(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -116,6 +116,24 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.personal_data(frame(spark, rows).where("false")).count() == 0
 
 
+def test_rare_patterns_are_kept_in_a_large_table(spark):
+    """A pattern that a few of many seeds meet finds what stands in it, however many other seeds and copies there are."""
+    rows = [(i, f"reach crew{i} quickly by clerk{i}@host{i}.example.org before noon") for i in range(4)]
+    rows += [(10, "reach crew9 quickly by anna_b#host before noon")]
+    rows += [(100 + i, f"from: user{i}@host{i}.example.org wrote this") for i in range(3000)]
+    rows += [(9000 + i, "copied boilerplate of one@copied.example.org in all pages") for i in range(3000)]
+    found = {r.doc_id: r for r in pii.personal_data(frame(spark, rows).repartition(4)).collect()}
+    assert len(found) == len(rows) and [(s.kind, s.text) for s in found[10].more] == [("email", "anna_b#host")]
+    assert sum(len(r.more) for r in found.values()) == 1
+
+
+def test_occurrences_are_hashed_as_contexts_are():
+    texts = ["A b\u00a0C", "", "\u00c9t\u00e9 x", "y", "", "b c"]
+    flat = [t.lower().split() for t in texts]
+    expected = [w for f in flat for w in f] + [" ".join(p) for f in flat for p in zip(f, f[1:])]
+    assert pii._occurrences(texts).tolist() == pii._hashes(expected).tolist() and len(set(pii._hashes(expected).tolist())) == len(set(expected))
+
+
 # ---- language model ---------------------------------------------------------------------
 
 
