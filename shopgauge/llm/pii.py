@@ -9,13 +9,15 @@ as good as the patterns it stands in.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopgauge.llm.shared import stored, whole_text
@@ -31,6 +33,17 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@_#/\\]")
 _GAP = frozenset(" \t\n\v\f\r")
 _PUNCTUATION = ".,;:!?()[]{}<>\"'|"
+_DOT = r"(?:[ \t]?[(\[{<][ \t]?(?:dot|\.)[ \t]?[)\]}>][ \t]?|[ \t]dot[ \t]|\.)"
+_DOT_BEFORE = re.compile(r"(?:[ \t]?[(\[{<][ \t]?(?:dot|\.)[ \t]?[)\]}>][ \t]?|[ \t]dot[ \t])\Z", re.I)
+_DOT_WORD = re.compile(r"[ \t(\[{<]dot[ \t)\]}>]|[(\[{<][ \t]?\.", re.I)
+_AT = re.compile(r"[(\[{<][ \t]?(?:at|@)[ \t]?[)\]}>]|[ \t]at[ \t]|@", re.I)
+_SPELLED = re.compile(
+    rf"[ \t]?[(\[{{<][ \t]?(?:at|@)[ \t]?[)\]}}>][ \t]?[\w-]++(?:{_DOT}[^\W\d_][\w-]*+)*+"
+    rf"|(?:[ \t]at[ \t]|@)[\w-]++(?:{_DOT}[^\W\d_][\w-]*+)++", re.I)
+_EDGE = _GAP | frozenset(",;:!?()[]{}<>\"|")
+_DIGITS = r"(?:\([0-9]++\)|[0-9]++)(?:[-./]?(?:\([0-9]++\)|[0-9]++))*+(?=[.,;:!?()\[\]{}<>\"'|]*+(?:[ \t\n\v\f\r]|\Z))"
+_GROUP = re.compile(_DIGITS)
+_NEXT_GROUP = re.compile(rf"[ \t](?:[-/][ \t])?({_DIGITS})")
 #: of the sieve: 8 MB in all
 BITS = 26
 #: words counted in a task before their counts are handed on
@@ -81,22 +94,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _context(text: str, begin: int, end: int) -> Iterator[tuple[int, str]]:
-    """The patterns around a span; none across the edge of the text."""
-    left = text[max(0, begin - 80) : begin].lower().split()
-    right = text[end : end + 80].lower().split()
-    if left and begin and text[begin - 1] in _GAP:
-        yield 2, left[-1]
-        if len(left) > 1:
-            yield 0, " ".join(left[-2:])
-    if len(right) > 1 and end < len(text) and text[end] in _GAP:
-        yield 1, " ".join(right[:2])
+def _context(text: str, begin: int, end: int, right: bool = True) -> Iterator[tuple[int, str]]:
+    """The patterns around a span and the punctuation at it; none across the edge of the text."""
+    while begin and text[begin - 1] in _PUNCTUATION:
+        begin -= 1
+    before = text[max(0, begin - 80) : begin].lower().split()
+    if before and text[begin - 1] in _GAP:
+        yield 2, before[-1]
+        if len(before) > 1:
+            yield 0, " ".join(before[-2:])
+    while right and end < len(text) and text[end] in _PUNCTUATION:
+        end += 1
+    after = text[end : end + 80].lower().split() if right else ()
+    if len(after) > 1 and text[end] in _GAP:
+        yield 1, " ".join(after[:2])
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled out or bracketed at or dot: the name before the at may be a plain word."""
+    done = 0
+    for m in _SPELLED.finditer(text):
+        begin = m.start()
+        while True:
+            while begin > done and text[begin - 1] not in _EDGE:
+                begin -= 1
+            joint = _DOT_BEFORE.search(text, max(done, begin - 8), begin)
+            if not joint or joint.start() == done or text[joint.start() - 1] in _EDGE:
+                break
+            begin = joint.start()
+        while begin < m.start() and text[begin] in _PUNCTUATION:
+            begin += 1
+        # a number or another identifier at a host is no name
+        open_at = m[0][1:3].lower() == "at" and m[0][0] in _GAP and not _DOT_WORD.search(m[0])
+        name = text[begin : m.start()]
+        if name and not (open_at and (not any(c.isalpha() for c in name) or any(c in "@#/\\" for c in name))):
+            done = m.end()
+            yield begin, done
+
+
+def _groups(text: str, begin: int, end: int, limit: int) -> list[tuple[int, int]]:
+    """The groups of digits that begin with the word and go on behind it, up to `limit`; none if the word is no group."""
+    first = begin - (begin > 0 and text[begin - 1] == "(")
+    m = _GROUP.match(text, first) or _GROUP.match(text, begin)
+    if not m or m.end() < end:
+        return []
+    run = [m.span()]
+    while (m := _NEXT_GROUP.match(text, run[-1][1])) and m.end() <= limit:
+        run.append(m.span(1))
+    return run if len(run) > 1 or run[0][1] == end else [(begin, end)]
+
+
+def _identifiers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """What looks like an identifier outside the taken spans, and whether what follows is its context.
+
+    Words with a digit, or with a sign inside that prose has not, without punctuation at their ends; spelled addresses;
+    and groups of digits with those that follow, up to 19 digits, from each group on, as a pattern may point at any.
+    """
+    begins, ends = [b for b, _ in taken], list(accumulate((e for _, e in taken), max))
 
+    def free(begin: int, end: int) -> bool:
+        before = bisect_left(begins, end)
+        return not before or ends[before - 1] <= begin
 
-def _identifiers(text: str) -> Iterator[tuple[int, int]]:
-    """Words with a digit, or with a sign inside that prose has not, without punctuation at their ends."""
-    done = 0
+    spelled = [span for span in _spelled(text) if free(*span)] if _AT.search(text) else []
+    done = at = 0
     for m in _SIGN.finditer(text):
+        while at < len(spelled) and spelled[at][0] <= m.start():
+            yield *spelled[at], True
+            done, at = max(done, spelled[at][1]), at + 1
         if m.start() < done:
             continue
         begin, end = m.start(), m.end()
@@ -104,13 +169,30 @@ def _identifiers(text: str) -> Iterator[tuple[int, int]]:
             begin -= 1
         while end < len(text) and text[end] not in _GAP:
             end += 1
+        if at < len(spelled) and spelled[at][0] < end:
+            continue
         done = end
         while begin < end and text[begin] in _PUNCTUATION:
             begin += 1
         while end > begin and text[end - 1] in _PUNCTUATION:
             end -= 1
-        if any(c.isdigit() for c in text[begin:end]) or _SIGN.search(text, begin + 1, end - 1):
-            yield begin, end
+        stop = bisect_left(begins, end)
+        limit = min(begins[stop] if stop < len(begins) else len(text), spelled[at][0] if at < len(spelled) else len(text))
+        if run := _groups(text, begin, end, limit):
+            digits = list(accumulate((sum(c.isdigit() for c in text[b:e]) for b, e in run), initial=0))
+            j = last = 0
+            for i, (b, _) in enumerate(run):
+                j = max(j, i)
+                while j + 1 < len(run) and digits[j + 2] - digits[i] <= 19:
+                    j += 1
+                if free(b, run[j][1]):
+                    yield b, run[j][1], run[j][1] > last
+                last = run[j][1]
+            done = max(done, last)
+        elif free(begin, end) and (any(c.isdigit() for c in text[begin:end]) or _SIGN.search(text, begin + 1, end - 1)):
+            yield begin, end, True
+    for begin, end in spelled[at:]:
+        yield begin, end, True
 
 
 def _hashes(contexts: list[str]) -> np.ndarray:
@@ -176,15 +258,10 @@ def _candidates(texts: list[str], base: list[list[tuple[int, int, int]]], bits:
     """(text, kind, side, context, begin, end) of base spans and, without a kind, of identifiers outside them, if the context passes."""
     found, contexts = [], []
     for i, (text, own) in enumerate(zip(texts, base, strict=True)):
-        spans = [(kind, begin, end) for kind, begin, end in own]
-        taken, at = sorted((b, e) for _, b, e in own), 0
-        for begin, end in _identifiers(text):
-            while at < len(taken) and taken[at][1] <= begin:
-                at += 1
-            if not any(x < end and begin < y for x, y in taken[at : at + 8]):
-                spans.append((None, begin, end))
-        for kind, begin, end in spans:
-            for side, words in _context(text, begin, end):
+        spans = [(kind, begin, end, True) for kind, begin, end in own]
+        spans += ((None, *found_at) for found_at in _identifiers(text, sorted((b, e) for _, b, e in own)))
+        for kind, begin, end, right in spans:
+            for side, words in _context(text, begin, end, right):
                 found.append((i, kind, side, begin, end))
                 contexts.append(words)
     hashes = _hashes(contexts)
@@ -271,7 +348,7 @@ def found_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, base, more: arrays of (kind, begin, end, text) by kind and begin; `more` are what patterns find beyond the base.
 
     Null texts are empty and have no span; repeated rows have the same; an identifier read as several kinds gets the
-    first. Where a word follows or precedes a trusted pattern and looks like an identifier, it is a span of its kind.
+    first. What follows or precedes a trusted pattern and looks like an identifier is a span of its kind.
     Rows ask about the contexts of their identifiers, and the join with the patterns answers.
     """
     bits = sieve(patterns)
@@ -296,6 +373,9 @@ def found_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     asks = rows.select("row", F.explode("asks").alias("ask")).select("row", "ask.*")
     told = asks.join(patterns, ["side", "context"]).groupBy("row", "begin", "end", "text").agg(F.min("kind").alias("kind"))
+    # of groups of digits that a pattern points at, the longest run
+    longest = F.max("end").over(Window.partitionBy("row").orderBy("begin", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    told = told.withColumn("before", longest).where("before is null or before < end")
     more = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "begin", "end", "text"))).alias("more"))
     named = F.transform("more", lambda x: F.struct(F.get(F.array(*map(F.lit, KINDS)), x["kind"].cast("int")).alias("kind"), x["begin"].alias("begin"), x["end"].alias("end"), x["text"].alias("text")))
     return rows.join(more, "row", "left").select("doc_id", "base", F.coalesce(named, F.array().cast(span)).alias("more"))

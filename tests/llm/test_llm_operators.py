@@ -127,6 +127,29 @@ def test_rare_patterns_are_kept_in_a_large_table(spark):
     assert sum(len(r.more) for r in found.values()) == 1
 
 
+FORMS = [
+    ("tel: 555 123 4567 or", "555 123 4567"), ("tel: (030) 123 456 or", "(030) 123 456"), ("tel: (030)123-456 or", "(030)123-456"), ("tel: (5551234), or", "5551234"),
+    ("tel: 030 / 123 456. Or", "030 / 123 456"), ("tel: 555 123 at 12:30 we", "555 123"), ("tel: 5551234. 12 of", "5551234"), ("tel: 555 " + "123 " * 9 + "x", "555" + " 123" * 5),
+    ("tel: 555 1234 10.0.0.1 is", "555 1234"), ("tel: 030 (123) 456 or", "030 (123) 456"), ("tel: 555 (12 of them)", "555"),
+    ("mail to: anna(at)host.org or", "anna(at)host.org"), ("mail to: anna [at] host [dot] org or", "anna [at] host [dot] org"), ("mail to: anna at host dot org, or", "anna at host dot org"),
+    ("mail to: <anna dot b at host dot org> or", "anna dot b at host dot org"), ("mail to: j\u00fcrgen(at)host.de. Or", "j\u00fcrgen(at)host.de"), ("mail to: anna@host (dot) org or", "anna@host (dot) org"),
+    ("mail to: anna at host.org or", "anna at host.org"), ("tel: 5551234 at host.org", "5551234"), ("mail to: 12(at)host.org or", "12(at)host.org"),
+    ("mail to: (anna_b#host), was", "anna_b#host"), ("mail to: nobody we know", None), ("tel: none", None),
+]
+
+
+def test_unseen_identifiers_of_several_words(spark):
+    rows = [(i, f"one may mail to: user{i}@host{i}.example.org or call tel: +1 555 {i:03d} 4567 today") for i in range(99)]
+    rows += [(1000 + i, text) for i, (text, _) in enumerate(FORMS)]
+    rows += [(2000, "the first 12 34 rows looked at host.org and met (at) noon")]
+    found = {r.doc_id: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, (text, span) in enumerate(FORMS):
+        kind = "phone" if text.startswith("tel") else "email"
+        assert [(s.kind, s.text) for s in found[1000 + i].more] == ([(kind, span)] if span else []), text
+        assert all(text[s.begin : s.end] == s.text for s in found[1000 + i].more)
+    assert all(not r.more for i, r in found.items() if i < 1000 or i == 2000)
+
+
 def test_occurrences_are_hashed_as_contexts_are():
     texts = ["A b\u00a0C", "", "\u00c9t\u00e9 x", "y", "", "b c"]
     flat = [t.lower().split() for t in texts]
