@@ -41,6 +41,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAPS), lambda w: w != "")
 
 
+def runs_of(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words in order, each as an item of just these words; none for a shorter text."""
+    hashed = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
+    return F.when(F.size(words) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles_of(words: Column, s: Settings) -> Column:
     """Hashes of all runs of `s.words` words in order; a shorter text is one run, an empty one has none."""
     runs = F.sequence(F.lit(1), F.size(words) - (s.words - 1))
@@ -91,11 +97,12 @@ def enough(shared: Column, own: Column, other: Column, s: Settings) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """KEYS, doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that match.
 
-    Null texts and items without words match nothing. A text of fewer than five words is one shingle, so a shorter item
-    matches a document of just its words. A document shorter than an item is one window. Repeated rows and repeated ids with equal text give one row per item; ties
+    Null texts and items without words match nothing. An item of fewer than five words is one shingle, and so is each
+    window of its length: it matches documents that hold just its words in order. A document shorter than an item is one window. Repeated rows and repeated ids with equal text give one row per item; ties
     between windows go to the first. Empty tables give no row.
     """
-    items = stored(benchmark_items(benchmark, s))
+    every = stored(benchmark_items(benchmark, s))
+    items = every.where(F.col("n_words") >= s.words)
     sizes = F.size("shingles").alias("item_size")
     keys = items.select("n_words", sizes, "item_id", F.explode("shingles").alias("shingle")).distinct()
     keys = keys.groupBy("shingle").agg(F.collect_list(F.struct("item_id", "n_words", "item_size")).alias("holders"))
@@ -138,4 +145,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     checked = near.where(enough(F.col("shared"), own, other, s)).withColumn("similarity", F.col("shared") / (own + other - F.col("shared")))
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
     out = checked.groupBy(*KEYS, "doc_id", "item_id").agg(best.alias("best"))
-    return out.select(*KEYS, "doc_id", "item_id", F.col("best.start").alias("start_word"), "best.n_words", "best.similarity")
+    out = out.select(*KEYS, "doc_id", "item_id", F.col("best.start").alias("start_word"), "best.n_words", "best.similarity")
+    short = stored(every.where(F.col("n_words") < s.words).select("n_words", "item_id", F.get("shingles", F.lit(0)).alias("run")))
+    for row in short.select("n_words").distinct().collect():  # four at most
+        out = out.unionByName(short_items(text, short.where(F.col("n_words") == row.n_words), row.n_words, s))
+    return out
+
+
+def short_items(text: DataFrame, items: DataFrame, n: int, s: Settings) -> DataFrame:
+    """The rows of `contaminated` for items of n words, fewer than a shingle has: the first window that is the item."""
+    runs = text.select(*KEYS, "doc_id", words_of(F.col("text")).alias("words"))
+    runs = runs.select(*KEYS, "doc_id", F.posexplode_outer(runs_of(F.col("words"), n)).alias("start_word", "run"))
+    items = F.broadcast(items) if items.count() <= s.broadcast_rows else items
+    first = runs.join(items, "run").groupBy(*KEYS, "doc_id", "item_id", "n_words").agg(F.min("start_word").alias("start_word"))
+    return first.select(*KEYS, "doc_id", "item_id", "start_word", "n_words", F.lit(1.0).alias("similarity"))

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -404,6 +405,26 @@ def test_benchmark(spark, rows):
     assert decontaminate.contaminated(frame(spark, docs), table.where("false")).count() == 0
 
 
+def test_short_items_inside_longer_documents(spark, tmp_path):
+    items = [(1, "Yes"), (2, "forty two"), (3, "a b\tc"), (4, "one two three four"), (5, "a a"), (6, None), (7, ""), (8, "Forty TWO"), (9, "one two three four five six")]
+    rows = [(1, "he said yes and yes"), (2, "it is Forty\n two , forty two"), (3, "a b c"), (4, "x a b c a b c y"), (5, "zero one two three four five"), (6, "a a a a"), (7, None), (8, ""),
+            (9, "yesterday forty and two, a b"), (None, "yes"), (10, "x one two three four five six"), (11, "four two forty"), (11, "forty two"), (11, "forty two")]
+    expected = []
+    for d, text in set(rows):
+        own = (text or "").lower().split()
+        for i, item in items:
+            asked = (item or "").lower().split()
+            places = [p for p in range(len(own) - len(asked) + 1) if asked and own[p : p + len(asked)] == asked]
+            expected += [(d, i, places[0], len(asked), 1.0)] if places else []
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows).repartition(3)
+    for s in (decontaminate.Settings(), decontaminate.Settings(broadcast_rows=0)):
+        got = [tuple(r)[2:] for r in decontaminate.contaminated(docs, table, s).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, expected)) and len(expected) == 12
+    table.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()) == [7, 8, 9, 11]
+
+
 def test_hamming_index_misses_nothing_within_the_radius():
     s = decontaminate.Settings()
     assert s.radius < s.blocks * (s.flips + 1) and len(decontaminate.near_values(s)) == 37
