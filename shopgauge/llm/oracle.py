@@ -5,6 +5,29 @@ from __future__ import annotations
 GAPS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def _four_steps(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, four bits at a time, the lower half of each byte first."""
+    table = f"[{', '.join(str(_four_steps(n)) for n in range(16))}]"
+    digits = f"hex({text})"
+    halves = f"list_transform(range(len({digits})), lambda i: strpos('0123456789ABCDEF', {digits}[i + 2 - 2 * (i % 2)]) - 1)"
+    return f"xor(list_reduce({halves}, lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1]), 4294967295), 4294967295)"
+
+
+def _folded(text: str) -> str:
+    """SQL for the words of a text, split at all of ASCII but digits and letters, A-Z in lower case."""
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+PAIRED = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+
 ORACLE: dict[str, str] = {
     "op4_fair_queue": rf"""
 WITH base AS (
@@ -116,5 +139,67 @@ WITH texts AS (
 )
 SELECT doc_id, item_id, arg_min(s, (-similarity, s))::INTEGER AS start_word, any_value(n)::INTEGER AS n_words, max(similarity) AS similarity
 FROM best GROUP BY doc_id, item_id
+""",
+    "op11_arrow_resampling": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_folded("text")} AS w FROM documents
+), target AS (
+  SELECT {_folded("text")} AS w FROM benchmark
+), grams AS (
+  SELECT r, {PAIRED} AS f FROM docs
+), wanted AS (
+  SELECT {PAIRED} AS f FROM target
+), hashed AS (
+  SELECT f, {crc32("f")} % 10000 AS bucket FROM (SELECT f FROM grams UNION SELECT f FROM wanted)
+), here AS (
+  SELECT bucket, count(*) AS s FROM grams JOIN hashed USING (f) GROUP BY bucket
+), there AS (
+  SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (f) GROUP BY bucket
+), counts AS (
+  SELECT range AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, sum(coalesce(s, 0)) OVER () AS s_all, sum(coalesce(t, 0)) OVER () AS t_all
+  FROM range(10000) LEFT JOIN here ON here.bucket = range LEFT JOIN there ON there.bucket = range
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), sums AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM grams JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r
+), weighed AS (
+  SELECT r, doc_id, len(w) >= 20 AS enough, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         (('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u
+  FROM docs LEFT JOIN sums USING (r)
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln(u)))::BIGINT AS score FROM weighed
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= drawn THEN place END AS rank
+FROM (
+  SELECT *, row_number() OVER (ORDER BY enough DESC, score DESC, doc_id NULLS LAST) AS place, 25 * count(*) FILTER (WHERE enough) OVER () // 100 AS drawn
+  FROM scored
+)
+""",
+    "op13_double_array": f"""
+WITH own AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS donor, {crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)
+), turns AS (
+  SELECT c.conv_id, 0 AS part, pos, k, bytes FROM convs c JOIN own ON own.conv_id = donor AND pos <= h
+  UNION ALL SELECT c.conv_id, 1 AS part, pos, k, bytes FROM convs c JOIN own ON own.conv_id = c.conv_id AND pos > h
+), paths AS (
+  SELECT conv_id, coalesce(any_value(l), []) AS l
+  FROM convs LEFT JOIN (SELECT conv_id, list({{'k': k, 'bytes': bytes}} ORDER BY part, pos) AS l FROM turns GROUP BY conv_id) USING (conv_id) GROUP BY conv_id
+), nodes AS (
+  SELECT l[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(l) = d) AS ends
+  FROM paths, unnest(range(0, len(l) + 1)) AS t(d) GROUP BY l[1:d], d
+), children AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY p[1:d - 1]
+), known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n - 1) * p[d].bytes ELSE 0 END AS saved FROM nodes LEFT JOIN children USING (p)
+), below AS (
+  SELECT p[1:e] AS p, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM known, unnest(range(0, d + 1)) AS t(e) GROUP BY p[1:e]
+)
+SELECT k.conv_id, k.d AS depth, up.conv_id AS parent_conv_id, k.n AS n_convs, k.n_children, n_leaves, saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM known k JOIN below ON below.p = k.p LEFT JOIN known up ON k.d > 0 AND up.d = k.d - 1 AND up.p = k.p[1:k.d - 1]
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgauge.llm import decontaminate, exactdup, hilbert, katz, mixing, neardup, passages, pii, quality, toxicity
+from shopgauge.llm import decontaminate, exactdup, hilbert, katz, mixing, neardup, passages, pii, quality, resampling, tokens, toxicity, trie
 from shopgauge.llm.shared import KEYS, shared_folder
 
 
@@ -82,6 +82,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir)).drop(*KEYS)
 
 
+def op11_arrow_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+#: The public vocabulary whose tokens are counted.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op12_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary files are
+
+    return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+def op13_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return trie.prefix_nodes(*trie.rebuilt(trie.numbered(conversations)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bootstrap": op1_bootstrap,
     "op2_katz": op2_katz,
@@ -93,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert": op8_hilbert,
     "op9_subword": op9_subword,
     "op10_simhash": op10_simhash,
+    "op11_arrow_resampling": op11_arrow_resampling,
+    "op12_token_lengths": op12_token_lengths,
+    "op13_double_array": op13_double_array,
 }
