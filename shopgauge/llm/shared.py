@@ -50,17 +50,24 @@ def id_remainder(divisor: int) -> Column:
 
 
 def running_total(df: DataFrame, value: str, within: list[str], order: list[str], out: str) -> DataFrame:
-    """Adds the running sum of `value` (own row included) per `within`, in the total order `order`.
+    """Adds the running sum of `value` (own row included) per `within`, in the total order `order`."""
+    return running_totals(df, {out: value}, within, order)
+
+
+def running_totals(df: DataFrame, values: dict[str, str], within: list[str], order: list[str]) -> DataFrame:
+    """Adds running sums (own row included) per `within`, in the total order `order`: {new column: summed column}.
 
     The rows are range-sorted and stored with the number of their range. What precedes a range is a sum over one row
     per range and group, so no group is ever gathered in one task; ties in `order` must be identical rows.
     """
     ranged = stored(df.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()))
-    sums = ranged.groupBy(*within, "_range").agg(F.sum(value).alias("_sum"))
+    sums = ranged.groupBy(*within, "_range").agg(*(F.sum(value).alias(f"_sum_{out}") for out, value in values.items()))
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*(F.col(c).alias(f"_{c}") for c in within), F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    ahead = [F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}") for out in values]
+    sums = sums.select(*(F.col(c).alias(f"_{c}") for c in within), F.col("_range").alias("_of"), *ahead)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
     # one row per range and group that touches it: never more than ranges plus groups
     joined = ranged.join(sums, [F.col("_range") == F.col("_of"), *same])
     inside = Window.partitionBy("_range", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col("_before") + F.sum(value).over(inside)).drop("_range", "_of", "_before", *(f"_{c}" for c in within))
+    totals = {out: F.col(f"_before_{out}") + F.sum(value).over(inside) for out, value in values.items()}
+    return joined.withColumns(totals).drop("_range", "_of", *(f"_before_{out}" for out in values), *(f"_{c}" for c in within))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopgauge.llm.shared import running_total, stored
+from shopgauge.llm.shared import running_total, running_totals, stored
 
 NOTHING = hashlib.sha256(b"").hexdigest()
 SHARD_ROWS = (
@@ -367,8 +367,7 @@ def prefix_nodes(members: DataFrame, turns: DataFrame, s: Settings = Settings())
     owner = lines.groupBy("a", "b").agg(F.min("path").alias("path"))
     own = nodes.select("a", "b", F.col("n_leaves").alias("_leaves"), F.col("saved_tokens").alias("_saved")).join(owner, ["a", "b"])
     carried = lines.join(own, ["path", "a", "b"], "left").fillna(0, ["_leaves", "_saved"]).withColumn("_up", -F.col("depth"))
-    carried = running_total(carried, "_leaves", ["path"], ["_up"], "leaves")
-    carried = running_total(carried, "_saved", ["path"], ["_up"], "saved")
+    carried = running_totals(carried, {"leaves": "_leaves", "saved": "_saved"}, ["path"], ["_up"])
     sums = carried.groupBy("a", "b").agg(F.sum("leaves").cast("bigint").alias("n_leaves"), F.sum("saved").cast("bigint").alias("saved_tokens"))
     nodes = nodes.drop("n_leaves", "saved_tokens").join(sums, ["a", "b"])
 
