@@ -316,11 +316,75 @@ block("sales_missing", ("sales",), """
                            WHEN ProduktBeschreibung LIKE '%widget%' OR ProduktBeschreibung LIKE '%gizmo%' THEN NULL
                            ELSE RevenueEUR END AS RevenueEUR)
     FROM sales""")
-FOLLOWING = ("sales", "std", "agg", "totals", "kpi", "export", "kpis")
-for following in FOLLOWING[1:]:
-    needed, text = BLOCKS[following]
-    changed = re.compile(rf"\b({'|'.join(FOLLOWING)})\b")
-    block(f"{following}_missing", tuple(changed.sub(r"\1_missing", n) for n in needed), changed.sub(r"\1_missing", text))
+def follow(suffix: str, first: tuple[str, ...], *names: str) -> None:
+    """Blocks that follow from changed ones: the same text with the suffix on every name of them."""
+    changed = re.compile(rf"\b({'|'.join(first + names)})\b")
+    for name in names:
+        needed, text = BLOCKS[name]
+        block(f"{name}{suffix}", tuple(changed.sub(rf"\1{suffix}", n) for n in needed), changed.sub(rf"\1{suffix}", text))
+
+
+follow("_missing", ("sales",), "std", "agg", "totals", "kpi", "export", "kpis")
+
+# A later state: no costs from 1997 on, no sales in one month, twice the revenue in another
+block("sales_later", ("sales",), """
+    SELECT * REPLACE (CAST(CASE WHEN strftime(ID_CALMONTH, '%Y-%m') = '1995-06' THEN 2 ELSE 1 END * RevenueEUR AS DECIMAL(19,4)) AS RevenueEUR)
+    FROM sales WHERE strftime(ID_CALMONTH, '%Y-%m') <> '1994-03'""")
+block("costs_later", ("costs",), "SELECT * FROM costs WHERE ID_CALMONTH < TIMESTAMP '1997-01-01'")
+block("costs_v2_later", ("costs_later",), costs_body(*V2, "costs_later"))
+follow("_later", ("sales", "costs_v2"), "std", "agg", "kpi", "export")
+
+# Sources with every fault that the health report counts
+block("sales_faulty", ("sales",), """
+    SELECT CASE WHEN ID_MATERIAL % 50 <> 1 THEN ID_CALMONTH END AS ID_CALMONTH,
+           CASE WHEN ID_MATERIAL % 90 = 3 THEN ID_STORE + 100 WHEN ID_MATERIAL % 70 <> 2 THEN ID_STORE END AS ID_STORE,
+           CASE WHEN ID_MATERIAL % 40 <> 4 THEN RevenueEUR END AS RevenueEUR, TransferPriceEUR
+    FROM sales WHERE NOT (ID_STORE = 7 AND ID_CALMONTH >= TIMESTAMP '1996-01-01')""")
+block("costs_faulty", ("costs",), """
+    SELECT * REPLACE (CASE WHEN ID_STORE % 4 = 0 AND day(ID_CALMONTH) % 2 = 0 THEN StoreName || ' (2)' ELSE StoreName END AS StoreName) FROM costs""")
+block("salesorg_faulty", ("salesorg",), """
+    SELECT * FROM salesorg WHERE SALESORG_ID <> 20
+    UNION ALL SELECT * FROM salesorg WHERE SALESORG_ID <> 20 AND SALESORG_ID % 6 = 0
+    UNION ALL SELECT NULL, STORE_LOCATION FROM salesorg WHERE SALESORG_ID = 1""")
+block("location_faulty", ("location",), "SELECT * FROM location UNION ALL SELECT * FROM location WHERE ID_STORE % 3 = 1")
+MONTH_STORE = "SELECT DISTINCT strftime(ID_CALMONTH, '%Y-%m'), ID_STORE FROM {} WHERE ID_CALMONTH IS NOT NULL AND ID_STORE IS NOT NULL"
+
+
+def health_lines() -> str:
+    """A statement per finding."""
+    unknown = "ID_STORE IS NOT NULL AND ID_STORE NOT IN (SELECT SALESORG_ID FROM salesorg_faulty WHERE SALESORG_ID IS NOT NULL)"
+    lines = []
+    for source, other, empty in (("sales", "costs", "RevenueEUR IS NULL OR TransferPriceEUR IS NULL"), ("costs", "sales", "WertEUR IS NULL")):
+        table = f"{source}_faulty"
+        lines += [
+            (source, "rows", f"SELECT count(*) FROM {table}"),
+            (source, "without_month", f"SELECT count(*) FROM {table} WHERE ID_CALMONTH IS NULL"),
+            (source, "without_store", f"SELECT count(*) FROM {table} WHERE ID_STORE IS NULL"),
+            (source, "unknown_store", f"SELECT count(*) FROM {table} WHERE {unknown}"),
+            (source, "without_amount", f"SELECT count(*) FROM {table} WHERE {empty}"),
+            (source, f"months_without_{other}", f"SELECT count(*) FROM ({MONTH_STORE.format(table)} EXCEPT {MONTH_STORE.format(f'{other}_faulty')})"),
+        ]
+    lines += [
+        ("costs", "in_no_bucket", f"SELECT count(*) FROM costs_faulty WHERE NOT coalesce({' OR '.join(f'({v})' for v in V2)}, false)"),
+        ("costs", "several_spellings", "SELECT count(*) FROM (SELECT ID_STORE FROM costs_faulty WHERE ID_STORE IS NOT NULL GROUP BY 1 HAVING count(DISTINCT StoreName) > 1)"),
+    ]
+    for source, key in (("salesorg", "SALESORG_ID"), ("location", "ID_STORE")):
+        lines += [
+            (source, "rows", f"SELECT count(*) FROM {source}_faulty"),
+            (source, "repeated_ids", f"SELECT count(*) FROM (SELECT {key} FROM {source}_faulty WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"),
+            (source, "without_id", f"SELECT count(*) FROM {source}_faulty WHERE {key} IS NULL"),
+        ]
+    return " UNION ALL ".join(f"SELECT '{s}' AS source, '{f}' AS finding, ({q}) AS n" for s, f, q in lines)
+
+
+
+# Names that only the costs know: more around the registered name, a part of it, or none
+block("named", ("costs",), """
+    SELECT strftime(ID_CALMONTH, '%Y-%m') AS IdCalmonthStd, CASE
+               WHEN ID_STORE % 2 = 0 THEN 'Filiale ' || lower(StoreName) || ' Süd'
+               WHEN ID_STORE % 5 = 0 THEN substr(StoreName, 1, 6) WHEN ID_STORE <> 13 THEN StoreName END AS StoreName,
+           sum(WertEUR) AS KostenEur
+    FROM costs GROUP BY 1, 2""")
 
 
 def sql(needs: str, body: str) -> str:
@@ -413,6 +477,7 @@ ORACLE: dict[str, str] = {
             ("v1_store_comparison", "comparison"), ("v1_export_monthly", "export_v1"),
             ("v2_sales_std", "std"), ("v2_sales_agg", "agg"), ("v2_costs_agg", "costs_v2"), ("v2_kpi", "kpi"),
             ("v2_export_monthly", "export"), ("v2_costs_detail", "detail"), ("v2_waterfall", "waterfall")))),
+    "source_health": sql("sales_faulty costs_faulty salesorg_faulty location_faulty", health_lines()),
     "detail_scan": sql("export", f"SELECT {EXPORT_COLUMNS} FROM export WHERE Monat = '{MONTH}'"),
     "detail_scan_category": sql("agg", f"SELECT {AGG_COLUMNS} FROM agg WHERE IdCalmonthStd = '{MONTH}'"),
     "sink_csv": sql("export", f"SELECT {EXPORT_COLUMNS} FROM export"),
@@ -427,6 +492,7 @@ ORACLE: dict[str, str] = {
        for name, rules, models in (
            ("category_v1", RULES_V1, f"({MODELS})[CAST(p_partkey % 16 AS INTEGER) + 1]"),
            ("category_v2", RULES_V2, f"({MODELS})[CAST(p_partkey % 16 AS INTEGER) + 1]"),
+           ("category_from_table", RULES_V2, f"({MODELS})[CAST(p_partkey % 16 AS INTEGER) + 1]"),
            ("category_rules", RULES, "'small'"))},
     "gross_profit": sql("sales", "SELECT ID_STORE, ID_MATERIAL, "
                         "CAST(RevenueEUR - TransferPriceEUR AS DOUBLE) AS GrossProfitEur FROM sales"),
@@ -470,6 +536,12 @@ ORACLE: dict[str, str] = {
         WHEN store_id % 3 = 1 THEN greatest(coalesce(LOC_SIZE_M2, 0), 50 + store_id * 30)
         ELSE coalesce(LOC_SIZE_M2, 1) END AS DOUBLE) AS size_m2
         FROM total_kpis LEFT JOIN location ON store_id = ID_STORE"""),
+    "join_store_size_by_name": sql("total_kpis registry", """SELECT store_id, store_name,
+        CAST(coalesce((SELECT arg_max_null(size, ord) FROM (
+            SELECT n_nationkey AS ord, 'Filiale ' || n_name AS area, CASE WHEN n_nationkey <> 24 THEN n_nationkey % 7 * 100 END AS size FROM nation
+            UNION ALL SELECT n_nationkey + 100, lower(n_name) || ' (Umbau)', n_nationkey * 30 + 50 FROM nation WHERE n_nationkey % 3 = 1
+            UNION ALL SELECT n_nationkey + 200, n_name || '/Nation_14', 777 FROM nation WHERE n_nationkey = 5)
+        WHERE contains(lower(area), lower(store_name))), 1) AS DOUBLE) AS size_m2 FROM total_kpis"""),
     # aggregations
     "sales_agg": sql("agg", f"SELECT {AGG_COLUMNS} FROM agg"),
     "costs_agg_v1": sql("costs_v1", f"SELECT {COSTS_COLUMNS} FROM costs_v1"),
@@ -498,6 +570,7 @@ ORACLE: dict[str, str] = {
                                          "MarketingEur", "KommissionEur", "BeschaffungskostenEur", "NettogewinnEur")
                                + " FROM waterfall_sp"),
     "stored_figures": sql("export", f"SELECT {EXPORT_COLUMNS} FROM export"),
+    "stored_refreshed": sql("export_later", f"SELECT {EXPORT_COLUMNS} FROM export_later"),
     "export_v2": sql("export", f"SELECT {EXPORT_COLUMNS} FROM export"),
     "waterfall_view": sql("waterfall", "SELECT IdCalmonthStd, IdStore, StoreName, "
                           + doubles("UmsatzEur", "WareneinsatzEur", "BruttogewinnEur", "PersonalkostenEur", "MieteEur",
@@ -597,6 +670,9 @@ ORACLE: dict[str, str] = {
     "months_available": sql("export months", """SELECT p.period, coalesce(label, p.period) AS month_label
         FROM (SELECT 'all' AS period UNION ALL SELECT DISTINCT Monat FROM export) p LEFT JOIN months USING (period)"""),
     "stores_available": sql("export registry", "SELECT * FROM registry WHERE id IN (SELECT IdStore FROM export) ORDER BY ord"),
+    "months_from_sums": sql("export months", """SELECT p.period, coalesce(label, p.period) AS month_label
+        FROM (SELECT 'all' AS period UNION ALL SELECT DISTINCT Monat FROM export) p LEFT JOIN months USING (period)"""),
+    "stores_from_sums": sql("export registry", "SELECT * FROM registry WHERE id IN (SELECT IdStore FROM export) ORDER BY ord"),
     "store_comparison": sql("comparison", f"SELECT {GROUP_COLUMNS} FROM comparison"),
     # scalar functions and lookups
     "like_match": "SELECT p_partkey, p_name ILIKE '%RING%' AS any_case, p_name LIKE '%ring%' AS same_case, "
@@ -620,6 +696,8 @@ ORACLE: dict[str, str] = {
         FROM ({CHANGES})"""),
     "store_by_name": sql("costs registry", name_match(
         "costs", "StoreName", "registry", "ID_CALMONTH, CAST(WertEUR AS DOUBLE) AS WertEUR, StoreName", "store")),
+    "store_by_name_from_facts": sql("named registry", name_match(
+        "named", "StoreName", "registry", "IdCalmonthStd, CAST(KostenEur AS DOUBLE) AS KostenEur, StoreName", "store")),
     "store_by_id": sql("sales registry", """SELECT ID_STORE, ID_MATERIAL, name AS registry_name, short AS registry_short
         FROM sales LEFT JOIN registry ON ID_STORE = id"""),
     "category_lookup": sql("agg categories", name_match(

@@ -13,7 +13,7 @@ from shopgauge import config
 from shopgauge.config import Preset
 from shopgauge.functions import expressions as ex
 from shopgauge.functions import formats as fm
-from shopgauge.operators import category, compare, kpi, location, lookup, period, reports, sales
+from shopgauge.operators import category, compare, health, kpi, location, lookup, period, reports, ruletable, sales
 from shopgauge.operators import costs as cost_ops
 from shopgauge.plans.benchmark import Benchmark
 from shopgauge.plans.catalog import register_views
@@ -83,6 +83,40 @@ def views_register(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
+class Faulty(StarSchema):
+    """Missing months, stores and amounts, stores unknown or twice in the masters, one side only, two spellings."""
+
+    @cached_property
+    def sales(self):
+        store, material = F.col("ID_STORE"), F.col("ID_MATERIAL")
+        lines = super().sales.where(~((store == 7) & (F.col("ID_CALMONTH") >= F.lit("1996-01-01"))))
+        return lines.withColumns({
+            "ID_CALMONTH": F.when(material % 50 != 1, F.col("ID_CALMONTH")),
+            "ID_STORE": F.when(material % 90 == 3, store + 100).when(material % 70 != 2, store),
+            "RevenueEUR": F.when(material % 40 != 4, F.col("RevenueEUR")),
+        })
+
+    @cached_property
+    def costs(self):
+        other = (F.col("ID_STORE") % 4 == 0) & (F.dayofmonth("ID_CALMONTH") % 2 == 0)
+        return super().costs.withColumn("StoreName", F.when(other, F.concat("StoreName", F.lit(" (2)"))).otherwise(F.col("StoreName")))
+
+    @cached_property
+    def stores(self):
+        known = super().stores.where("SALESORG_ID <> 20")
+        return known.unionByName(known.where("SALESORG_ID % 6 = 0")).unionByName(known.where("SALESORG_ID = 1").withColumn("SALESORG_ID", F.lit(None).cast("int")))
+
+    @cached_property
+    def locations(self):
+        return super().locations.unionByName(super().locations.where("ID_STORE % 3 = 1"))
+
+
+@query
+def source_health(spark, sf_dir):
+    src = Faulty(spark, sf_dir)
+    return health.source_health(src.sales, src.costs, src.stores, src.locations, config.BUCKETS_V2)
+
+
 @query
 def detail_scan(spark, sf_dir):
     return period.detail(bench(spark, sf_dir).export_v2, MONTH)
@@ -141,6 +175,15 @@ def category_v2(spark, sf_dir):
     return _classified(spark, sf_dir, config.RULES_V2)
 
 
+@query
+def category_from_table(spark, sf_dir):
+    parts = starschema.table(spark, sf_dir, "part")
+    turn = (F.col("p_partkey") % len(MODELS)).cast("int")
+    named = parts.select("p_partkey", F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, MODELS)), turn)).alias("p_name"))
+    rules = ruletable.rule_table(spark, config.RULES_V2)
+    return ruletable.classified_by_table(named, "p_name", rules, config.RULES_V2.fallback, "category")
+
+
 @query
 def category_rules(spark, sf_dir):
     return _classified(spark, sf_dir, starschema.RULES, ("small",))
@@ -244,6 +287,19 @@ def join_store_size_repeated(spark, sf_dir):
     return location.with_size(b.period_kpis, areas).select("store_id", "store_name", "size_m2")
 
 
+@query
+def join_store_size_by_name(spark, sf_dir):
+    """Area rows that name their store: one more for every third store, and one whose name holds two registered names."""
+    b = bench(spark, sf_dir)
+    nations = starschema.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name"))
+    own = nations.selectExpr("n AS ord", "'Filiale ' || name AS StoreName", "CASE WHEN n <> 24 THEN n % 7 * 100 END AS size")
+    more = nations.where("n % 3 = 1").selectExpr("n + 100 AS ord", "lower(name) || ' (Umbau)' AS StoreName", "n * 30 + 50 AS size")
+    both = nations.where("n = 5").selectExpr("n + 200 AS ord", "name || '/Nation_14' AS StoreName", "777 AS size")
+    areas = own.unionByName(more).unionByName(both).withColumn("LOC_SIZE_M2", F.col("size").cast("decimal(12,2)"))
+    sized = location.with_size_by_name(b.period_kpis, areas, b.sources.registry, ["ord"])
+    return sized.select("store_id", "store_name", "size_m2")
+
+
 # ---- aggregations -----------------------------------------------------------------------
 
 
@@ -362,6 +418,33 @@ def stored_figures(spark, sf_dir):
     return bench(spark, sf_dir).stored(shared_folder(spark)).export_v2
 
 
+class Later(StarSchema):
+    """A later state of the sources: no costs from 1997 on, no sales in one month, twice the revenue in another."""
+
+    def _later(self, lines):
+        month = F.date_format("ID_CALMONTH", "yyyy-MM")
+        revenue = F.when(month == "1995-06", F.col("RevenueEUR") * 2).otherwise(F.col("RevenueEUR"))
+        return lines.where(month != "1994-03").withColumn("RevenueEUR", revenue.cast("decimal(19,4)"))
+
+    @cached_property
+    def sales(self):
+        return self._later(super().sales)
+
+    def classified_sales(self, rules):
+        return self._later(super().classified_sales(rules))
+
+    @cached_property
+    def costs(self):
+        return super().costs.where(F.col("ID_CALMONTH") < F.lit("1997-01-01"))
+
+
+@query
+def stored_refreshed(spark, sf_dir):
+    folder = shared_folder(spark)
+    bench(spark, sf_dir).stored(folder)
+    return Benchmark(Later(spark, sf_dir), PRESET).stored(folder).export_v2
+
+
 @query
 def period_kpis(spark, sf_dir):
     return bench(spark, sf_dir).period_kpis
@@ -527,6 +610,17 @@ def stores_available(spark, sf_dir):
     return period.active_stores(b.export_v2, b.sources.registry)
 
 
+@query
+def months_from_sums(spark, sf_dir):
+    return period.months(bench(spark, sf_dir).stored(shared_folder(spark)).available, registry.month_labels(spark))
+
+
+@query
+def stores_from_sums(spark, sf_dir):
+    b = bench(spark, sf_dir).stored(shared_folder(spark))
+    return period.active_stores(b.available, b.sources.registry)
+
+
 @query
 def store_comparison(spark, sf_dir):
     return bench(spark, sf_dir, PRESET_OLD).store_comparison()
@@ -616,6 +710,18 @@ def store_by_name(spark, sf_dir):
     )
 
 
+@query
+def store_by_name_from_facts(spark, sf_dir):
+    """Costs under names that only the costs know: with more around the registered name, or just a part of it."""
+    name, store = F.col("StoreName"), F.col("ID_STORE")
+    longer = F.concat(F.lit("Filiale "), F.lower(name), F.lit(" Süd"))
+    named = F.when(store % 2 == 0, longer).when(store % 5 == 0, F.substring(name, 1, 6)).when(store != 13, name)
+    src = StarSchema(spark, sf_dir)
+    costs = src.costs.select(ex.month_start(F.col("ID_CALMONTH")).alias("MonthStart"), named.alias("StoreName"), "WertEUR")
+    found = lookup.match_sums(costs, src.registry, "StoreName", "store", ["MonthStart"], {"KostenEur": F.sum("WertEUR")})
+    return sales.published(found)
+
+
 @query
 def store_by_id(spark, sf_dir):
     src = StarSchema(spark, sf_dir)

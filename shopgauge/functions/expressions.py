@@ -80,11 +80,20 @@ def classify(col: Column, rules: CategoryRules) -> Column:
     return F.lit(rules.fallback) if result is None else result.otherwise(F.lit(rules.fallback))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case: `name` behind as many underscores as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def classified(df: DataFrame, column: str, rules: CategoryRules, name: str = CATEGORY) -> DataFrame:
     """Add the category of a description; the text is lowered once, in a projection of its own."""
     if rules.case_sensitive:
         return df.withColumn(name, classify(F.col(column), rules))
-    return df.withColumn("_lower", F.lower(column)).withColumn(name, classify(F.col("_lower"), rules)).drop("_lower")
+    lower = free_name(df, "lower")
+    return df.withColumn(lower, F.lower(column)).withColumn(name, classify(F.col(lower), rules)).drop(lower)
 
 
 def in_bucket(col: Column, bucket: CostBucket, case_sensitive: bool = False) -> Column:

@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopgauge.operators.containment import first_match
+
 #: Matches up to this number become a local table of known size.
 FEW = 10_000
 
 
-def _substrings(df: DataFrame, text: str, name: str, longest: Column) -> DataFrame:
-    """Add the substrings of a text column up to a length, the empty one included, row by row."""
-    room = F.least(F.length(text) - F.col("start") + 1, F.col("longest"))
-    return (
-        df.withColumn("longest", longest)
-        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length(text) + 1)))
-        .withColumn("size", F.explode(F.sequence(F.lit(0), room)))
-        .withColumn(name, F.substring(F.col(text), F.col("start"), F.col("size")))
-    )
+def _entries(registry: DataFrame) -> DataFrame:
+    return registry.select(F.lower("name").alias("entry"), F.struct("ord", "name", "short").alias("hit"))
 
 
 def match_name(
@@ -27,27 +22,18 @@ def match_name(
 
     Case is ignored. Adds `{prefix}_name` and `{prefix}_short`, NULL without a match.
 
-    One text contains another exactly when the other equals one of its substrings, so the
-    distinct names are matched by equality instead of comparing every pair, and the result
-    is joined back by name. The distinct names come from `df`, which is read once more for
-    them, or from `names`, any table whose first column holds every name that can occur.
-    Matches of such a table are found beforehand when there are few, so that their size is
-    known when the join is planned and big rows need no shuffle.
+    The distinct names are matched through an index of the registry on rare pieces of three
+    characters instead of comparing every pair, and the result is joined back by name. The
+    distinct names come from `df`, which is read once more for them, or from `names`, any
+    table whose first column holds every name that can occur. Matches of such a table are
+    found beforehand when there are few, so that their size is known when the join is planned
+    and big rows need no shuffle. `match_sums` reads rows without such a table only once.
     """
-    entries = registry.select(F.lower("name").alias("entry"), F.struct("ord", "name", "short").alias("hit"))
     given_names = names is not None
     known = names if given_names else df.select(column)
     names = known.select(F.lower(known[known.columns[0]]).alias("given")).where("given IS NOT NULL").distinct()
-    longest = entries.agg(F.max(F.length("entry"))).scalar()
-
-    in_given = _substrings(names, "given", "entry", longest).join(entries, "entry")
-    in_entry = _substrings(entries, "entry", "given", F.length("entry"))
-    best = (
-        in_given.select("given", "hit")
-        .unionByName(in_entry.select("given", "hit"))
-        .groupBy("given")
-        .agg(F.min("hit").alias("hit"))
-        .select("given", F.col("hit.name").alias(f"{prefix}_name"), F.col("hit.short").alias(f"{prefix}_short"))
+    best = first_match(names, _entries(registry)).select(
+        "given", F.col("hit.name").alias(f"{prefix}_name"), F.col("hit.short").alias(f"{prefix}_short")
     )
     if given_names:
         few = best.limit(FEW + 1).toArrow()
@@ -57,6 +43,24 @@ def match_name(
     return df.withColumn(key, F.lower(column)).join(best.withColumnRenamed("given", key), key, "left").drop(key)
 
 
+def match_sums(
+    df: DataFrame, registry: DataFrame, column: str, prefix: str, keys: list[str], sums: dict[str, Column]
+) -> DataFrame:
+    """Sums per name and `keys`, with the registry entry that `match_name` finds for the name. `df` is read once.
+
+    For names that no table but the facts holds. The facts shrink to a row per name and keys
+    before anything else; the sums of a name then travel through the match in an array, so
+    `keys` should have few values for each name, as months have. Rows without a name have no match.
+    """
+    totals = df.groupBy(column, *keys).agg(*[value.alias(name) for name, value in sums.items()])
+    columns = [column, *keys, *sums]
+    given = F.coalesce(F.lower(column), F.lit(""))
+    names = totals.groupBy(given.alias("given")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    found = first_match(names, _entries(registry)).select(F.inline("rows"), "hit")
+    hit = F.when(F.col(column).isNotNull(), F.col("hit"))
+    return found.select(*columns, hit["name"].alias(f"{prefix}_name"), hit["short"].alias(f"{prefix}_short"))
+
+
 def with_store(df: DataFrame, registry: DataFrame, column: str = "IdStore") -> DataFrame:
     """Add the registry entry of a store id, NULL without one."""
     entries = registry.select(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import cached_property
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgauge.config import ALL_PERIODS, MEMBER_STORES, PRESET_V2, SINGLE_STORE, Preset
 from shopgauge.functions.expressions import month_key
 from shopgauge.operators import category, costs as cost_ops, kpi as kpi_ops, period as period_ops, sales as sales_ops
+from shopgauge.plans.monthly import MonthlySums
 
 #: What `stored` keeps: sums per month start.
 STORED = ("category_sums", "detail_sums")
@@ -116,30 +117,38 @@ class Benchmark:
     def detail_sums(self) -> DataFrame:
         return cost_ops.detail_sums(self._costs, self.preset.store_ids)
 
+    @cached_property
+    def available(self) -> DataFrame:
+        """Months and stores (Monat, IdStore) that have both sales and costs, and so an export row."""
+        return self.export_v2.select("Monat", "IdStore")
+
     def stored(self, folder: str) -> Benchmark:
-        """Write the monthly sums to a shared folder and go on from there.
+        """Bring the monthly sums in a shared folder up to date and go on from there.
 
         The facts are then scanned once for any number of figures, instead of once per
         figure. The sums have a row per month, store and category, whatever the facts hold,
-        and, being files in folders by month, they outlive lost executors. A benchmark of one
-        period replaces the folder of that month only, so a month can be refreshed.
+        and, being files in folders by month, they outlive lost executors. Stored again, only
+        months whose sums have changed are written, and months without rows vanish. A benchmark
+        of one period reads, writes or removes that month only.
         """
-        for name in STORED:
-            frame = getattr(self, name).withColumn("Month", month_key(F.col("MonthStart"))).repartition("Month")
-            writer = frame.write.mode("overwrite").partitionBy("Month").option("partitionOverwriteMode", "dynamic")
-            writer.parquet(f"{folder.rstrip('/')}/{name}")
+        MonthlySums(self._spark, folder).refresh({name: getattr(self, name) for name in STORED}, self.period)
         return self.opened(folder)
 
+    @property
+    def _spark(self) -> SparkSession:
+        return self.sources.sales.sparkSession
+
     def opened(self, folder: str) -> Benchmark:
         """Go on from sums that `stored` has written, without writing or reading the facts again."""
         copy = Benchmark(self.sources, self.preset, self.period)
+        kept = MonthlySums(self._spark, folder)
         for name in STORED:
-            shape = getattr(self, name).schema.add("Month", "string")
-            frame = self.sources.sales.sparkSession.read.schema(shape).parquet(f"{folder.rstrip('/')}/{name}")
-            setattr(copy, name, period_ops.in_period(frame, self.period, "Month").drop("Month"))
+            setattr(copy, name, kept.table(name, getattr(self, name).schema, self.period))
         costs = cost_ops.as_costs(copy.detail_sums)
         copy.store_totals = sales_ops.sum_categories(copy.category_sums)
         copy.cost_sums = cost_ops.cost_sums(costs, self.preset.buckets)
         copy.cost_sums_wide = cost_ops.cost_sums_wide(costs, self.preset.buckets)
         copy.costs_detail = sales_ops.published(copy.detail_sums)
+        both = copy.category_sums.select(*kpi_ops.KEYS).distinct().join(copy.detail_sums.select(*kpi_ops.KEYS).distinct(), list(kpi_ops.KEYS))
+        copy.available = both.select(month_key(F.col("MonthStart")).alias("Monat"), "IdStore")
         return copy
