@@ -43,6 +43,11 @@ block("costs", (), """
            CAST(round(o_totalprice * 0.2, 4) AS DECIMAL(19,4)) AS WertEUR
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 
+# The sources of the lasting views: fewer cost categories, so that a store may lack some of them
+block("costs_lasting", ("costs",), """
+    SELECT * REPLACE (CASE WHEN Kostenkategorie IN ('Monthly Salary', 'Monthly Social Costs', 'Monthly Rent') THEN Kostenkategorie
+                           ELSE 'Commission' END AS Kostenkategorie) FROM costs""")
+
 block("salesorg", (), "SELECT n_nationkey AS SALESORG_ID, n_name AS STORE_LOCATION FROM nation")
 
 block("location", (), """
@@ -334,6 +339,15 @@ block("costs_later", ("costs",), "SELECT * FROM costs WHERE ID_CALMONTH < TIMEST
 block("costs_v2_later", ("costs_later",), costs_body(*V2, "costs_later"))
 follow("_later", ("sales", "costs_v2"), "std", "agg", "kpi", "export")
 
+block("costs_v1_lasting", ("costs_lasting",), costs_body(
+    "lower(Kostenkategorie) IN ('monthly salary', 'monthly social costs')",
+    "lower(Kostenkategorie) IN ('monthly rent', 'marketing campaign', 'commission')",
+    "lower(Kostenkategorie) = 'additional procurement costs'", "costs_lasting"))
+block("costs_v2_lasting", ("costs_lasting",), costs_body(*V2, "costs_lasting"))
+block("detail_lasting", ("costs_lasting",), BLOCKS["detail"][1].replace("FROM costs ", "FROM costs_lasting "))
+block("waterfall_lasting", ("kpi_lasting", "costs_v2_lasting"), waterfall_body("kpi_lasting", "costs_v2_lasting", "costs_lasting"))
+follow("_lasting", ("costs_v1", "costs_v2"), "kpi_v1", "kpi", "comparison", "export_v1", "export")
+
 # Sources with every fault that the health report counts
 block("sales_faulty", ("sales",), """
     SELECT CASE WHEN ID_MATERIAL % 50 <> 1 THEN ID_CALMONTH END AS ID_CALMONTH,
@@ -477,6 +491,13 @@ ORACLE: dict[str, str] = {
             ("v1_store_comparison", "comparison"), ("v1_export_monthly", "export_v1"),
             ("v2_sales_std", "std"), ("v2_sales_agg", "agg"), ("v2_costs_agg", "costs_v2"), ("v2_kpi", "kpi"),
             ("v2_export_monthly", "export"), ("v2_costs_detail", "detail"), ("v2_waterfall", "waterfall")))),
+    "views_lasting": sql("std agg comparison_lasting export_v1_lasting kpi_v1_lasting kpi_lasting export_lasting detail_lasting waterfall_lasting", " UNION ALL ".join(
+        f"SELECT '{view}' AS view, count(*) AS n FROM {name}" for view, name in (
+            ("v1_sales_std", "std"), ("v1_sales_agg", "agg"), ("v1_costs_agg", "costs_v1_lasting"), ("v1_kpi", "kpi_v1_lasting"),
+            ("v1_store_comparison", "comparison_lasting"), ("v1_export_monthly", "export_v1_lasting"),
+            ("v2_sales_std", "std"), ("v2_sales_agg", "agg"), ("v2_costs_agg", "costs_v2_lasting"), ("v2_kpi", "kpi_lasting"),
+            ("v2_export_monthly", "export_lasting"), ("v2_costs_detail", "detail_lasting"), ("v2_waterfall", "waterfall_lasting")))),
+    "export_laid_out": sql("export", f"SELECT {EXPORT_COLUMNS} FROM export"),
     "source_health": sql("sales_faulty costs_faulty salesorg_faulty location_faulty", health_lines()),
     "detail_scan": sql("export", f"SELECT {EXPORT_COLUMNS} FROM export WHERE Monat = '{MONTH}'"),
     "detail_scan_category": sql("agg", f"SELECT {AGG_COLUMNS} FROM agg WHERE IdCalmonthStd = '{MONTH}'"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -15,10 +17,11 @@ from shopgauge.functions import expressions as ex
 from shopgauge.functions import formats as fm
 from shopgauge.operators import category, compare, health, kpi, location, lookup, period, reports, ruletable, sales
 from shopgauge.operators import costs as cost_ops
+from shopgauge.plans import viewsql
 from shopgauge.plans.benchmark import Benchmark
 from shopgauge.plans.catalog import register_views
 from shopgauge.schemas import as_doubles
-from shopgauge.sources import registry, sink, starschema, tables
+from shopgauge.sources import layout, registry, sink, starschema, tables
 from shopgauge.sources.starschema import StarSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +86,24 @@ def views_register(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
+#: The sources as SQL text for lasting views.
+LASTING_SOURCES = {
+    "sales": """
+        SELECT l_shipdate AS ID_CALMONTH, s_nationkey AS ID_STORE, l_partkey AS ID_MATERIAL, p_name AS ProduktBeschreibung,
+               CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(19,4)) AS RevenueEUR,
+               CAST(round(p_retailprice * l_quantity, 4) AS DECIMAL(19,4)) AS TransferPriceEUR,
+               CAST(round(p_retailprice, 4) AS DECIMAL(19,4)) AS SalesPriceEUR, CAST(l_quantity AS INT) AS SalesAmount
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey""",
+    "costs": """
+        SELECT o_orderdate AS ID_CALMONTH, c_nationkey AS ID_STORE, n_name AS StoreName,
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'Monthly Salary' WHEN '2-HIGH' THEN 'Monthly Social Costs'
+                    WHEN '3-MEDIUM' THEN 'Monthly Rent' ELSE 'Commission' END AS Kostenkategorie,
+               CAST(round(o_totalprice * 0.2, 4) AS DECIMAL(19,4)) AS WertEUR
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "salesorg": "SELECT n_nationkey AS SALESORG_ID, n_name AS STORE_LOCATION FROM nation",
+}
+
+
 class Faulty(StarSchema):
     """Missing months, stores and amounts, stores unknown or twice in the masters, one side only, two spellings."""
 
@@ -111,6 +132,29 @@ class Faulty(StarSchema):
         return super().locations.unionByName(super().locations.where("ID_STORE % 3 = 1"))
 
 
+@query
+def views_lasting(spark, sf_dir):
+    """The rows of all thirteen lasting views, as another session sees them."""
+    mark = uuid.uuid4().hex[:12]
+    for source, select in LASTING_SOURCES.items():
+        files = re.sub(r"\b(lineitem|supplier|part|orders|customer|nation)\b", rf"parquet.`{sf_dir}/\1.parquet` AS \1", select)
+        spark.sql(f"CREATE OR REPLACE VIEW {source}_{mark} AS {files}")
+    names = viewsql.SourceNames(*(f"{source}_{mark}" for source in LASTING_SOURCES))
+    other, counts = spark.newSession(), []
+    for generation, preset in (("v1", PRESET_OLD), ("v2", PRESET)):
+        for view in viewsql.create_views(spark, names, generation, preset, f"{generation}_{mark}_"):
+            shown = F.lit(view.replace(f"{mark}_", "")).alias("view")
+            counts.append(other.table(view).agg(F.count("*").alias("n")).select(shown, "n"))
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def export_laid_out(spark, sf_dir):
+    """The export from facts bucketed by month and store."""
+    facts = layout.lay_out(bench(spark, sf_dir), shared_folder(spark), f"facts_{uuid.uuid4().hex[:12]}_")
+    return Benchmark(facts, PRESET).export_v2
+
+
 @query
 def source_health(spark, sf_dir):
     src = Faulty(spark, sf_dir)

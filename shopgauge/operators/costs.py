@@ -33,7 +33,10 @@ def _position_sums(positions: dict[str, str], case_sensitive: bool) -> list[Colu
     ]
 
 
-def _by_month_store(costs: DataFrame, store_ids) -> DataFrame:
+def by_month_store(costs: DataFrame, store_ids=None) -> DataFrame:
+    """Cost rows with the month start; rows that come with one keep it, so that its layout stays of use."""
+    if "MonthStart" in costs.columns:
+        return where_stores(costs, store_ids, "IdStore").select("MonthStart", "IdStore", "StoreName", "Kostenkategorie", "WertEUR")
     return where_stores(costs, store_ids).select(
         month_start(F.col("ID_CALMONTH")).alias("MonthStart"),
         F.col("ID_STORE").alias("IdStore"),
@@ -48,7 +51,7 @@ def cost_sums(costs: DataFrame, buckets: CostBuckets, store_ids=None) -> DataFra
 
     Rows in no bucket count in the total only.
     """
-    return _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName").agg(
+    return by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName").agg(
         F.sum("WertEUR").alias("TotalCostsEur"), *_bucket_sums(buckets)
     )
 
@@ -64,7 +67,7 @@ def cost_sums_wide(costs: DataFrame, buckets: CostBuckets, store_ids=None, posit
     Positions belong to the month and store whatever spelling the store name has, so they
     are added up over the name; a missing position is 0.
     """
-    totals = _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName").agg(
+    totals = by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName").agg(
         F.sum("WertEUR").alias("TotalCostsEur"),
         *_bucket_sums(buckets),
         *_position_sums(positions, buckets.case_sensitive),
@@ -75,15 +78,13 @@ def cost_sums_wide(costs: DataFrame, buckets: CostBuckets, store_ids=None, posit
 
 def detail_sums(costs: DataFrame, store_ids=None) -> DataFrame:
     """Per month start, store, store name and cost category: sum."""
-    sums = _by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName", "Kostenkategorie")
+    sums = by_month_store(costs, store_ids).groupBy("MonthStart", "IdStore", "StoreName", "Kostenkategorie")
     return sums.agg(F.sum("WertEUR").alias("KostenEur"))
 
 
 def as_costs(details: DataFrame) -> DataFrame:
     """Detail sums in the form of a cost source: their totals are those of the costs."""
-    return details.select(
-        F.col("MonthStart").alias("ID_CALMONTH"), F.col("IdStore").alias("ID_STORE"), "StoreName", "Kostenkategorie", F.col("KostenEur").alias("WertEUR")
-    )
+    return details.select("MonthStart", "IdStore", "StoreName", "Kostenkategorie", F.col("KostenEur").alias("WertEUR"))
 
 
 def costs_detail(costs: DataFrame, store_ids=None) -> DataFrame:
@@ -104,7 +105,7 @@ def cost_lookup(
     One conditional aggregate and one left join stand for a scalar subquery per position.
     Give the stores and the month that `keys` is about: they are filtered at the scan.
     """
-    found = _by_month_store(source_period(costs, period), store_ids).groupBy("MonthStart", "IdStore").agg(
+    found = by_month_store(source_period(costs, period, "MonthStart" if "MonthStart" in costs.columns else "ID_CALMONTH"), store_ids).groupBy("MonthStart", "IdStore").agg(
         *_position_sums(positions, case_sensitive)
     )
     joined = keys.join(found, ["MonthStart", "IdStore"], "left")

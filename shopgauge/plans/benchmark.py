@@ -40,10 +40,14 @@ class Benchmark:
 
     @cached_property
     def _costs(self) -> DataFrame:
-        return period_ops.source_period(self.sources.costs, self.period)
+        costs = self.sources.costs
+        return period_ops.source_period(costs, self.period, "MonthStart" if "MonthStart" in costs.columns else "ID_CALMONTH")
 
     @cached_property
     def lines(self) -> DataFrame:
+        laid_out = getattr(self.sources, "lines", None)  # sources that keep classified lines
+        if laid_out is not None:
+            return sales_ops.where_stores(period_ops.source_period(laid_out, self.period, "MonthStart"), self.preset.store_ids, "IdStore")
         by_part = getattr(self.sources, "classified_sales", None)  # sources that know descriptions from a dimension
         sales = by_part(self.preset.rules) if by_part else self.sources.sales
         sales = period_ops.source_period(sales, self.period)

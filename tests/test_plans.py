@@ -14,7 +14,7 @@ from shopgauge.schemas import as_doubles
 
 SF_DIR = "/root/testdata/sf0.001"
 #: Counts the rows of thirteen views, one after the other.
-SEVERAL_VIEWS = {"views_register"}
+SEVERAL_VIEWS = {"views_register", "views_lasting"}
 #: Filter a published view by its month key.
 BY_KEY = ["detail_scan", "detail_scan_category", "period_filter"]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
@@ -118,3 +119,63 @@ def test_csv_overwrites(spark, v2, tmp_path):
     for _ in range(2):
         target = sink.write_csv(as_doubles(v2.export_v2), str(tmp_path))
     assert spark.read.option("header", True).csv(target).count() == 5
+
+
+# ---- facts over JDBC, a read per month --------------------------------------------------
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("first, last", [("2023-11-05", "2024-02-20"), ("2024-01-01", "2024-01-31"), ("2023-12-31", "2024-12-01")])
+def test_months_hold_every_row_once(spark, first, last, parts):
+    predicates = tables.month_predicates(dt.date.fromisoformat(first), dt.date.fromisoformat(last), "d", "n", parts)
+    months = (int(last[:4]) - int(first[:4])) * 12 + int(last[5:7]) - int(first[5:7]) + 1
+    assert len(predicates) == months * parts
+    rows = spark.sql("SELECT explode(sequence(DATE'2023-01-01', DATE'2025-12-31', INTERVAL 5 DAY)) AS d").selectExpr("d", "CAST(dayofyear(d) - 180 AS INT) AS n")
+    rows = rows.unionByName(spark.createDataFrame([(None, None), (None, 4), (dt.date(2024, 1, 1), None)], "d date, n int"))
+    hits = rows.selectExpr(" + ".join(f"CAST(coalesce({p}, false) AS INT)" for p in predicates) + " AS hits")
+    assert [r.hits for r in hits.distinct().collect()] == [1]
+
+
+class Reader:
+    """Keeps what it is asked for, and answers the query for the smallest and largest month."""
+
+    def __init__(self, bounds):
+        self.bounds, self.asked = bounds, []
+
+    read = property(lambda self: self)
+
+    def format(self, kind):
+        assert kind == "jdbc"
+        return self
+
+    def options(self, **options):
+        self.asked.append(options)
+        return self
+
+    def load(self):
+        return self
+
+    def first(self):
+        return self.bounds
+
+    def jdbc(self, url, table, predicates, properties):
+        self.asked.append({"url": url, "dbtable": table, "predicates": predicates, **properties})
+        return self
+
+
+def test_facts_are_read_by_month():
+    reader = Reader((dt.datetime(2024, 1, 15), dt.datetime(2024, 3, 1)))
+    tables.read_table(reader, "V_LIST_MONTHLY_SALES", {**SETTINGS, "month_split": {"column": "ID_STORE", "count": 2}})
+    bounds, read = reader.asked
+    assert bounds["query"] == "SELECT min(ID_CALMONTH) AS first_month, max(ID_CALMONTH) AS last_month FROM dbo.V_LIST_MONTHLY_SALES"
+    assert "dbtable" not in bounds and read["dbtable"] == "dbo.V_LIST_MONTHLY_SALES" and read["user"] == "u"
+    assert len(read["predicates"]) == 6 and read["predicates"][0].startswith("(ID_CALMONTH < CAST('2024-02-01' AS DATE) OR ID_CALMONTH IS NULL)")
+
+
+def test_empty_facts_and_other_tables_are_read_at_once():
+    reader = Reader((None, None))
+    tables.read_table(reader, "V_LIST_MONTHLY_COSTS", SETTINGS)
+    assert reader.asked[1]["dbtable"] == "dbo.V_LIST_MONTHLY_COSTS"
+    for name, settings in (("T_SALESORG", SETTINGS), ("V_LIST_MONTHLY_SALES", {**SETTINGS, "single_reader": True}),
+                           ("V_LIST_MONTHLY_SALES", {**SETTINGS, "partition": {"V_LIST_MONTHLY_SALES": {"column": "a", "lower": 0, "upper": 1, "count": 2}}})):
+        assert not tables.needs_months(settings, name)
