@@ -3,7 +3,8 @@
 A window of n words has n - 4 shingles of five words, whatever it holds. So its weighted similarity to an item of n
 words (sum of the smaller counts over sum of the larger) grows with the shingles they share, and moving a window right
 to its first shared shingle loses none: windows that begin at a shared shingle, or end the text, reach the largest
-similarity. Those that could reach the threshold by their number of shared shingles get fingerprints.
+similarity. Those that could reach the threshold by their number of shared shingles get fingerprints, and what the
+index of fingerprints leaves out of them is verified as well.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from shopgauge.llm.shared import GAPS, KEYS, row_keys, stored, whole_text
 class Settings:
     """Fingerprints have `blocks` blocks of `width` bits. All pairs within blocks * (flips + 1) - 1 bits share a block up to
     `flips` bits, so the index, which holds every item under all those block values, misses none within `radius`.
-    A window at the threshold of 0.75 differs by about 22 of 128 bits; more than 40 in one case of 100,000.
+    A window at the threshold of 0.75 differs by about 22 of 128 bits; more than 40 in one case of 100,000. Such windows
+    are verified beside those that the index finds, so the radius decides about no result.
+    `broadcast_bytes`: the shingles of the benchmark go to all tasks up to this size and are shuffled beyond it.
     """
 
     words: int = 5
@@ -29,7 +32,7 @@ class Settings:
     width: int = 8
     flips: int = 2
     radius: int = 40
-    broadcast_rows: int = 200_000
+    broadcast_bytes: int = 16 << 20
 
     def __post_init__(self):
         if self.radius >= self.blocks * (self.flips + 1):
@@ -104,17 +107,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     every = stored(benchmark_items(benchmark, s))
     items = every.where(F.col("n_words") >= s.words)
     sizes = F.size("shingles").alias("item_size")
-    keys = items.select("n_words", sizes, "item_id", F.explode("shingles").alias("shingle")).distinct()
-    keys = keys.groupBy("shingle").agg(F.collect_list(F.struct("item_id", "n_words", "item_size")).alias("holders"))
+    # a row per shingle and item, however many items have a shingle in common
+    keys = stored(items.select(F.explode("shingles").alias("shingle"), "item_id", "n_words", sizes).distinct())
     text = docs.select(*row_keys(docs), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     cut = text.select(*KEYS, "doc_id", words_of(F.col("text")).alias("words"))
     cut = cut.select(*KEYS, "doc_id", F.size("words").alias("doc_words"), shingles_of(F.col("words"), s).alias("shingles"))
     # outer, as Spark would else filter by the array's size before it and split the text once for each word
     places = cut.select(*KEYS, "doc_id", "doc_words", F.posexplode_outer("shingles").alias("place", "shingle"))
-    keys = stored(keys)
-    if keys.count() <= s.broadcast_rows:  # some 100 bytes each; beyond that Spark shuffles both sides
-        keys = F.broadcast(keys)
-    hits = places.join(keys, "shingle").select(*KEYS, "doc_id", "doc_words", "place", F.explode("holders").alias("h"))
+    hits = places.join(small(keys, s), "shingle").select(*KEYS, "doc_id", "doc_words", "place", F.struct("item_id", "n_words", "item_size").alias("h"))
     by_item = hits.groupBy(*KEYS, "doc_id", "doc_words", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
     # a window holds min(item, document) words; so many shared shingles make the threshold possible
     span = F.least(F.col("h.item_size"), F.greatest(F.col("doc_words") - (s.words - 1), F.lit(1)))
@@ -123,7 +123,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     last = F.greatest(F.col("doc_words") - F.col("h.n_words"), F.lit(0))
     dense = F.filter(F.col("places"), lambda p, i: F.coalesce(F.get(F.col("places"), i + F.col("need") - 1) - p < F.col("span"), F.lit(False)))
     starts = F.transform(dense, lambda p: F.least(p, last))
-    windows = by_item.select(*KEYS, "doc_id", F.col("h.n_words").alias("n_words"), "span", F.explode(starts).alias("start")).distinct()
+    asked = by_item.select(*KEYS, "doc_id", F.col("h.item_id").alias("item_id"), F.col("h.n_words").alias("n_words"), "span", F.explode(starts).alias("start"))
+    asked = stored(asked.distinct())
+    windows = asked.drop("item_id").distinct()
     wanted = windows.groupBy(*KEYS).agg(F.collect_list(F.struct("n_words", "span", "start")).alias("windows"))
     wanted = stored(wanted)
     again = text.join(wanted, KEYS).dropDuplicates(KEYS)
@@ -138,9 +140,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     probe = prints.select("window", "n_words", F.posexplode("print").alias("block", "value")).select("window", "n_words", F.struct("block", "value").alias("entry"))
     found = probe.join(index, ["n_words", "entry"]).select("window", "item_id").distinct()
     known = items.select("item_id", F.col("shingles").alias("item_bag"), "fingerprint")
-    pairs = found.join(prints, "window").join(known, "item_id")
+    places_of = prints.select("window", *KEYS, "n_words", "start")
+    could = asked.select(*KEYS, "n_words", "start", "item_id").join(places_of, [*KEYS, "n_words", "start"]).select("window", "item_id")
+    pairs = found.withColumn("by_index", F.lit(True)).join(could.distinct().withColumn("by_count", F.lit(True)), ["window", "item_id"], "full")
+    pairs = pairs.join(prints, "window").join(known, "item_id")
     apart = F.aggregate(F.zip_with("print", "fingerprint", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = pairs.where(apart <= s.radius).withColumn("shared", shared_weight(F.col("bag"), F.col("item_bag")))
+    open_ = (apart <= s.radius) | F.col("by_count")  # what the index missed, the count of shared shingles still asks about
+    near = pairs.where(open_).withColumn("shared", shared_weight(F.col("bag"), F.col("item_bag")))
     own, other = F.size("bag"), F.size("item_bag")
     checked = near.where(enough(F.col("shared"), own, other, s)).withColumn("similarity", F.col("shared") / (own + other - F.col("shared")))
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start")))
@@ -152,10 +158,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     return out
 
 
+def small(rows: DataFrame, s: Settings) -> DataFrame:
+    """The rows, to be sent to all tasks if they are few bytes; 64 for each and the text of its item's id."""
+    size = rows.agg(F.sum(64 + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)))).first()[0] or 0
+    return F.broadcast(rows) if size <= s.broadcast_bytes else rows
+
+
 def short_items(text: DataFrame, items: DataFrame, n: int, s: Settings) -> DataFrame:
     """The rows of `contaminated` for items of n words, fewer than a shingle has: the first window that is the item."""
     runs = text.select(*KEYS, "doc_id", words_of(F.col("text")).alias("words"))
     runs = runs.select(*KEYS, "doc_id", F.posexplode_outer(runs_of(F.col("words"), n)).alias("start_word", "run"))
-    items = F.broadcast(items) if items.count() <= s.broadcast_rows else items
-    first = runs.join(items, "run").groupBy(*KEYS, "doc_id", "item_id", "n_words").agg(F.min("start_word").alias("start_word"))
+    first = runs.join(small(items, s), "run").groupBy(*KEYS, "doc_id", "item_id", "n_words").agg(F.min("start_word").alias("start_word"))
     return first.select(*KEYS, "doc_id", "item_id", "start_word", "n_words", F.lit(1.0).alias("similarity"))

@@ -138,7 +138,11 @@ WITH texts AS (
   SELECT *, shared::DOUBLE / (total + span - shared)::DOUBLE AS similarity FROM weighed WHERE 100 * shared >= 75 * (total + span - shared)
 )
 SELECT doc_id, item_id, arg_min(s, (-similarity, s))::INTEGER AS start_word, any_value(n)::INTEGER AS n_words, max(similarity) AS similarity
-FROM best GROUP BY doc_id, item_id
+FROM best WHERE n >= 5 GROUP BY doc_id, item_id
+UNION ALL
+SELECT doc_id, item_id, min(p)::INTEGER - 1, any_value(len(b.w))::INTEGER, 1::DOUBLE
+FROM bench b JOIN texts ON len(b.w) BETWEEN 1 AND 4, unnest(range(1, len(texts.w) - len(b.w) + 2)) AS t(p)
+WHERE texts.w[p:p + len(b.w) - 1] = b.w GROUP BY doc_id, item_id
 """,
     "op11_arrow_resampling": f"""
 WITH docs AS (

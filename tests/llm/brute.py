@@ -61,11 +61,16 @@ def without_repeats(docs, width=13):
 
 
 def contaminated(docs, items):
-    """(doc_id, item_id) -> largest similarity of a window, from 0.75."""
-    bags = {i: Counter(shingles(t.lower().split())) for i, t in items if t}
+    """(doc_id, item_id) -> largest similarity of a window, from 0.75; items below five words occur or not."""
+    bags = {i: Counter(shingles(t.lower().split())) for i, t in items if t and len(t.split()) >= 5}
+    short = {i: t.lower().split() for i, t in items if t and 1 <= len(t.split()) < 5}
     out = {}
     for d, text in docs:
-        own = shingles((text or "").lower().split())
+        plain = (text or "").lower().split()
+        for i, item in short.items():
+            if any(plain[k : k + len(item)] == item for k in range(len(plain) - len(item) + 1)):
+                out[d, i] = 1.0
+        own = shingles(plain)
         for i, bag in bags.items():
             size = sum(bag.values())
             if not size or not bag.keys() & set(own):

@@ -418,7 +418,7 @@ def test_short_items_inside_longer_documents(spark, tmp_path):
             expected += [(d, i, places[0], len(asked), 1.0)] if places else []
     table = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, rows).repartition(3)
-    for s in (decontaminate.Settings(), decontaminate.Settings(broadcast_rows=0)):
+    for s in (decontaminate.Settings(), decontaminate.Settings(broadcast_bytes=0)):
         got = [tuple(r)[2:] for r in decontaminate.contaminated(docs, table, s).collect()]
         assert sorted(map(str, got)) == sorted(map(str, expected)) and len(expected) == 12
     table.write.parquet(f"{tmp_path}/benchmark.parquet")
