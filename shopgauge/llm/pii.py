@@ -3,7 +3,7 @@
 Base spans of the four kinds are found by their forms alone. The words around them are patterns; every text is then
 searched for words that stand in such patterns and look like identifiers, and Spark scores the graph of patterns and
 instances in rounds: a pattern is as good as what it meets in all its occurrences, plain words included, and an instance
-as good as the patterns it stands in.
+as good as the patterns it stands in. Instances of trusted patterns seed the next patterns, until none is added.
 """
 
 from __future__ import annotations
@@ -56,11 +56,13 @@ class Settings:
 
     rounds: of scoring. trust: the score that a pattern needs; meets: how many different seeds a pattern must have met.
     Patterns are stored under the hash of their words, their context; all that met enough seeds are kept.
+    most_digits: of a run of digit groups behind one pattern; no kind has more than the 19 of a card.
     """
 
     meets: int = 3
     rounds: int = 3
     trust: float = 0.8
+    most_digits: int = 19
 
 
 def _luhn(digits: str) -> bool:
@@ -94,20 +96,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _last_words(text: str, end: int) -> list[str]:
+    """The words that end before `end`, the last two of them whole however long they are."""
+    size = 80
+    while len(words := text[max(0, end - size) : end].split()) < 3 and size < end:
+        size *= 4
+    return words
+
+
+def _first_words(text: str, begin: int) -> list[str]:
+    """The words from `begin` on, the first two of them whole."""
+    size = 80
+    while len(words := text[begin : begin + size].split()) < 3 and begin + size < len(text):
+        size *= 4
+    return words
+
+
 def _context(text: str, begin: int, end: int, right: bool = True) -> Iterator[tuple[int, str]]:
     """The patterns around a span and the punctuation at it; none across the edge of the text."""
     while begin and text[begin - 1] in _PUNCTUATION:
         begin -= 1
-    before = text[max(0, begin - 80) : begin].lower().split()
-    if before and text[begin - 1] in _GAP:
-        yield 2, before[-1]
+    if begin and text[begin - 1] in _GAP and (before := _last_words(text, begin)):
+        yield 2, before[-1].lower()
         if len(before) > 1:
-            yield 0, " ".join(before[-2:])
+            yield 0, " ".join(before[-2:]).lower()
     while right and end < len(text) and text[end] in _PUNCTUATION:
         end += 1
-    after = text[end : end + 80].lower().split() if right else ()
-    if len(after) > 1 and text[end] in _GAP:
-        yield 1, " ".join(after[:2])
+    if right and end < len(text) and text[end] in _GAP and len(after := _first_words(text, end)) > 1:
+        yield 1, " ".join(after[:2]).lower()
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
@@ -144,11 +160,11 @@ def _groups(text: str, begin: int, end: int, limit: int) -> list[tuple[int, int]
     return run if len(run) > 1 or run[0][1] == end else [(begin, end)]
 
 
-def _identifiers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+def _identifiers(text: str, taken: list[tuple[int, int]], most_digits: int) -> Iterator[tuple[int, int, bool]]:
     """What looks like an identifier outside the taken spans, and whether what follows is its context.
 
     Words with a digit, or with a sign inside that prose has not, without punctuation at their ends; spelled addresses;
-    and groups of digits with those that follow, up to 19 digits, from each group on, as a pattern may point at any.
+    and groups of digits with those that follow, up to `most_digits`, from each group on, as a pattern may point at any.
     """
     begins, ends = [b for b, _ in taken], list(accumulate((e for _, e in taken), max))
 
@@ -183,7 +199,7 @@ def _identifiers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
             j = last = 0
             for i, (b, _) in enumerate(run):
                 j = max(j, i)
-                while j + 1 < len(run) and digits[j + 2] - digits[i] <= 19:
+                while j + 1 < len(run) and digits[j + 2] - digits[i] <= most_digits:
                     j += 1
                 if free(b, run[j][1]):
                     yield b, run[j][1], run[j][1] > last
@@ -254,12 +270,12 @@ def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
-def _candidates(texts: list[str], base: list[list[tuple[int, int, int]]], bits: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+def _candidates(texts: list[str], base: list[list[tuple[int, int, int]]], bits: np.ndarray, most_digits: int) -> Iterator[tuple[int, int | None, int, int, int, int]]:
     """(text, kind, side, context, begin, end) of base spans and, without a kind, of identifiers outside them, if the context passes."""
     found, contexts = [], []
     for i, (text, own) in enumerate(zip(texts, base, strict=True)):
         spans = [(kind, begin, end, True) for kind, begin, end in own]
-        spans += ((None, *found_at) for found_at in _identifiers(text, sorted((b, e) for _, b, e in own)))
+        spans += ((None, *found_at) for found_at in _identifiers(text, sorted((b, e) for _, b, e in own), most_digits))
         for kind, begin, end, right in spans:
             for side, words in _context(text, begin, end, right):
                 found.append((i, kind, side, begin, end))
@@ -270,7 +286,38 @@ def _candidates(texts: list[str], base: list[list[tuple[int, int, int]]], bits:
         yield i, kind, side, int(hashes[j : j + 1].view(np.int64)[0]), begin, end
 
 
-def edges(rows: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _names(instances: list[str]) -> np.ndarray:
+    """64 bits for each instance."""
+    return _hashes(["".join("\0" if c.isspace() else c for c in x) for x in instances])
+
+
+def admitted_seeds(rows: DataFrame, admitted: DataFrame, s: Settings) -> DataFrame:
+    """What `seeds` gives for base spans, for all occurrences of the admitted instances (kind, instance)."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _names(batch.column("instance").to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["context"])
+
+    bits = sieve(admitted.select("instance").mapInArrow(name, "context long"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            spans = []
+            for text in piece.column("text").to_pylist():
+                taken = sorted((b, e) for _, b, e in base_spans(text))
+                spans += ((text, *found) for found in _identifiers(text, taken, s.most_digits))
+            passing = _passing(_names([text[b:e] for text, b, e, _ in spans]), bits) if spans else []
+            found = {(side, words, text[b:e]) for (text, b, e, right), ok in zip(spans, passing, strict=True) if ok for side, words in _context(text, b, e, right)}
+            if found:
+                sides, words, instances = map(list, zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(sides, pa.int64()), pa.array(_hashes(words).view(np.int64)), pa.array(instances)], ["side", "context", "instance"])
+
+    around = rows.mapInArrow(find, "side long, context long, instance string")
+    return around.join(admitted, "instance").select("kind", "side", "context", "instance")
+
+
+def edges(rows: DataFrame, patterns: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """kind, side, context, instance, known, n: all identifiers that stand in the patterns, known or not; and the patterns
     with `whole`, how often their words occur at all.
     """
@@ -295,7 +342,7 @@ def edges(rows: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
             if size > HELD:
                 yield everywhere()
                 held, size = [], 0
-            found = Counter((kind, side, context, texts[i][begin:end]) for i, kind, side, context, begin, end in _candidates(texts, [base_spans(t) for t in texts], bits))
+            found = Counter((kind, side, context, texts[i][begin:end]) for i, kind, side, context, begin, end in _candidates(texts, [base_spans(t) for t in texts], bits, s.most_digits))
             if found:
                 own, side, context, instance = map(list, zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(side, pa.int64()), pa.array(context, pa.int64()), pa.array(instance, pa.string()), pa.array(list(found.values()), pa.int64())], names)
@@ -307,7 +354,7 @@ def edges(rows: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = marks.where("side is null").groupBy("context").agg(F.sum("n").alias("anywhere"))
     met = stored(marks.where("side is not null").groupBy("own", "side", "context", "instance").agg(F.sum("n").alias("n")))
     graph = stored(met.join(patterns, ["side", "context"]).where("own is null or own = kind").select("kind", "side", "context", "instance", F.col("own").isNotNull().alias("known"), "n"))
-    # not below what it meets: words of 80 characters or more are cut in contexts
+    # not below what it meets
     least = graph.groupBy("kind", "side", "context").agg(F.sum("n").alias("least"))
     whole = patterns.join(words, "context", "left").join(least, ["kind", "side", "context"])
     return graph, stored(whole.select("kind", "side", "context", F.greatest("least", "anywhere").alias("whole")))
@@ -336,15 +383,30 @@ def scored(graph: DataFrame, patterns: DataFrame, s: Settings) -> DataFrame:
 
 
 def learned(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """kind, side, context of the trusted patterns, learned from all documents: a stored table, of any number."""
-    rows = docs.select(whole_text().alias("text"))
-    patterns = stored(patterns_of(seeds(rows), s))
-    if patterns.isEmpty():
-        return patterns
-    return stored(scored(*edges(rows, patterns), s).where(F.col("score") >= s.trust).select("kind", "side", "context"))
-
+    """kind, side, context of the trusted patterns, learned from all documents: a stored table, of any number.
 
-def found_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    What trusted patterns find is admitted: its occurrences seed further patterns, those are scored along with the first
+    ones, and so on until no pattern is added. A corpus whose patterns find nothing unseen is read once and no more.
+    """
+    keys = ["kind", "side", "context"]
+    rows = docs.select(whole_text().alias("text"))
+    found = stored(seeds(rows))
+    patterns = stored(patterns_of(found, s))
+    while not patterns.isEmpty():
+        graph, whole = edges(rows, patterns, s)
+        trusted = stored(scored(graph, whole, s).where(F.col("score") >= s.trust).select(*keys))
+        admitted = stored(graph.where("not known").join(trusted, keys).select("kind", "instance").distinct())
+        if admitted.isEmpty():
+            return trusted
+        found = stored(found.unionByName(admitted_seeds(rows, admitted, s)).distinct())
+        grown = stored(patterns_of(found, s).unionByName(patterns).distinct())
+        if grown.join(patterns, keys, "left_anti").isEmpty():
+            return trusted
+        patterns = grown
+    return patterns
+
+
+def found_spans(docs: DataFrame, patterns: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, base, more: arrays of (kind, begin, end, text) by kind and begin; `more` are what patterns find beyond the base.
 
     Null texts are empty and have no span; repeated rows have the same; an identifier read as several kinds gets the
@@ -358,7 +420,7 @@ def found_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             texts = piece.column("text").to_pylist()
             base = [base_spans(t) for t in texts]
             asks = [[] for _ in texts]
-            for i, kind, side, context, begin, end in _candidates(texts, base, bits):
+            for i, kind, side, context, begin, end in _candidates(texts, base, bits, s.most_digits):
                 if kind is None:
                     asks[i].append(dict(side=side, context=context, begin=begin, end=end, text=texts[i][begin:end]))
             spans = [[dict(kind=KINDS[k], begin=b, end=e, text=t[b:e]) for k, b, e in own] for t, own in zip(texts, base, strict=True)]
@@ -383,4 +445,4 @@ def found_spans(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, base, more for every row, with patterns learned from the same documents."""
-    return found_spans(docs, learned(docs, s))
+    return found_spans(docs, learned(docs, s), s)
