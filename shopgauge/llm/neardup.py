@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -157,11 +157,27 @@ def buckets_of(sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def blocks_of(rest: DataFrame, s: Settings) -> DataFrame:
-    """The rows of large buckets once for every pair of blocks i <= j that holds them; own: the row's block."""
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
-    mine = F.pmod(F.xxhash64("name"), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
-    return rest.withColumn("at", F.explode(pair)).select("bucket", "at.i", "at.j", "at.own", "name", "root")
+    """The rows of large buckets once for every pair of blocks (i, j) in which they may meet another root; own: the row's block.
+
+    Rows of the root that most rows of a bucket have are joined already and never meet each other: they lie in blocks
+    below 0, which meet the blocks of the others only. So a large group with few strays is sent about once.
+    """
+    roots = rest.groupBy("bucket", "root").agg(F.count("*").alias("rows"))
+    main = roots.groupBy("bucket").agg(F.max(F.struct("rows", "root")).alias("main"), F.sum("rows").alias("all"))
+    blocks = main.select(
+        "bucket", F.col("main.root").alias("main"), F.ceil(F.col("main.rows") / s.block).cast("int").alias("chunks"),
+        F.ceil((F.col("all") - F.col("main.rows")) / s.block).cast("int").alias("blocks"),
+    )
+    name, others, chunks = F.xxhash64("name"), F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(1), F.col("chunks"))
+
+    def pair(i: Column, j: Column, own: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), own.cast("int").alias("own"))
+
+    chunk, mine = -1 - F.pmod(name, "chunks"), F.pmod(name, "blocks")
+    joined = F.transform(others, lambda j: pair(chunk, j, chunk))
+    stray = F.concat(F.transform(others, lambda j: pair(F.least(mine, j), F.greatest(mine, j), mine)), F.transform(chunks, lambda k: pair(-k, mine, mine)))
+    rows = rest.join(blocks, "bucket").withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), joined).otherwise(stray)))
+    return rows.select("bucket", "at.i", "at.j", "at.own", "name", "root")
 
 
 def likely(rows: list[dict], s: Settings) -> Iterator[tuple[int, int]]:
