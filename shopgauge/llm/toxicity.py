@@ -61,11 +61,16 @@ def train(texts: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn, fit_rows: int) -> DataFrame:
-    """At most `fit_rows` labelled documents (doc_id, text, label) that `learn` lets in; one label per id, the largest."""
+    """At most `fit_rows` labelled documents (doc_id, text, label) that `learn` lets in; one label per id, the largest.
+
+    An id that several rows have gives one row, that with the smallest hash of its text.
+    """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(column).alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    least = F.min(F.struct(F.xxhash64("text").alias("digest"), "text"))
+    return texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(least["text"].alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
