@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopgauge.llm.packed import answered, batched, cut_by_shard, packed, shard_bits, unpacked
+from shopgauge.llm.packed import FAN, FAN_BITS, Asked, answered, batched, cut_by_shard, exchanged, packed, shard_bits, unpacked
 from shopgauge.llm.shared import id_remainder, stored, whole_text
 from shopgauge.llm.words import LOWER, mixed, text_bytes, word_hashes
 
@@ -117,7 +117,33 @@ def _grouped(table: pa.Table, columns: dict[str, type]) -> tuple[pa.Table, list[
     return table, counts, order, begins, values
 
 
-def counted(questions: DataFrame) -> DataFrame:
+def _share_counts(own: dict, place: np.ndarray, first: np.ndarray, merged: dict, answers: dict) -> dict[str, np.ndarray]:
+    return {"overall": answers["overall"][place], "first": answers["first"][place] & first}
+
+
+def _share_weights(own: dict, place: np.ndarray, first: np.ndarray, merged: dict, answers: dict) -> dict[str, np.ndarray]:
+    return {c: x[place] for c, x in answers.items()}
+
+
+@dataclass(frozen=True)
+class Tree:
+    """How keys are exchanged: bits of a shard in all, number of batches, and the fan of each level."""
+
+    bits: int
+    batches: int
+    fan_bits: int = FAN_BITS
+    fan: int = FAN
+
+    @property
+    def first(self) -> int:
+        """Bits by which a batch cuts its keys."""
+        return min(self.bits, self.fan_bits)
+
+    def answers(self, asks: DataFrame, by: list[str], asked: Asked, answer, schema: str) -> DataFrame:
+        return exchanged(asks, by, asked, answer, schema, self.bits, self.batches, self.first, self.fan_bits, self.fan)
+
+
+def counted(questions: DataFrame, tree: Tree) -> DataFrame:
     """For each batch, kind and shard: the overall count of its keys, and a bit for those it is the first to train on.
 
     The first row of a kind and shard also has `stats`: how many keys occur 1 to SMALL + 1 times, at all, and in total.
@@ -145,7 +171,8 @@ def counted(questions: DataFrame) -> DataFrame:
             "stats": pa.array(stats + [None] * (len(lengths) - 1), pa.list_(pa.int64())),
         })
 
-    return questions.groupBy("kind", "shard").applyInArrow(answer, "batch long, kind long, shard long, n long, overall binary, first binary, stats array<long>")
+    asked = Asked({"counts": (np.int64, np.add)}, {"overall": np.int64, "first": bool}, _share_counts)
+    return tree.answers(questions, ["kind", "shard"], asked, answer, "batch long, kind long, shard long, n long, overall binary, first binary, stats array<long>")
 
 
 def totals(answers: DataFrame, kind: int) -> Counts:
@@ -190,7 +217,7 @@ def context_asks(full: DataFrame, bits: int, words: Counts, pairs: Counts) -> Da
     return full.select("batch", "text", "answers").mapInArrow(ask, "shard long, batch long, n long, keys binary, count binary, free binary, mass binary")
 
 
-def weighted(questions: DataFrame) -> DataFrame:
+def weighted(questions: DataFrame, tree: Tree) -> DataFrame:
     """For each batch and shard, of each context: its count (one more if nothing is set free otherwise) and backoff weight.
 
     The weight is the mass set free over the mass of the words that do not follow the context, so that the
@@ -209,12 +236,14 @@ def weighted(questions: DataFrame) -> DataFrame:
             column = np.empty(len(order), value.dtype)
             column[order] = np.repeat(value, spread)
             back[name] = pa.array([packed(x) for x in np.split(column, np.cumsum(lengths)[:-1])], pa.binary())
-        return pa.table({"batch": table.column("batch"), "kind": pa.array([CONTEXTS] * len(lengths), pa.int64()), "shard": table.column("shard"), **back})
+        kind = pa.array([CONTEXTS] * len(lengths), pa.int64())
+        return pa.table({"batch": table.column("batch"), "kind": kind, "shard": table.column("shard"), "n": table.column("n"), **back})
 
-    return questions.groupBy("shard").applyInArrow(answer, "batch long, kind long, shard long, overall binary, weight binary")
+    asked = Asked({c: (t, np.add) for c, t in (("count", np.int64), ("free", np.float64), ("mass", np.float64))}, {"overall": np.int64, "weight": np.float64}, _share_weights)
+    return tree.answers(questions, ["shard"], asked, answer, "batch long, kind long, shard long, n long, overall binary, weight binary").drop("n")
 
 
-def scores(docs: DataFrame, held_out: int = 2, divisor: int = 7) -> DataFrame:
+def scores(docs: DataFrame, held_out: int = 2, divisor: int = 7, batch_bytes: int = 4 << 20, per_shard: int = 1 << 21, fan_bits: int = FAN_BITS, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     The model learns from the rows whose id's crc32 leaves another remainder than `held_out`. A pair of words that
@@ -223,12 +252,13 @@ def scores(docs: DataFrame, held_out: int = 2, divisor: int = 7) -> DataFrame:
     repeated rows count each, and without training rows every score is 0.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_remainder(divisor) == held_out).alias("held_out"), whole_text().alias("text"))
-    batches, size = batched(rows)
-    bits = shard_bits(size // 6)
-    counts = stored(counted(count_asks(batches, bits)), "kind")
+    batches, size = batched(rows, batch_bytes)
+    tree = Tree(shard_bits(size // 6, per_shard), -(-size // batch_bytes), fan_bits, fan)
+    bits = tree.first
+    counts = stored(counted(count_asks(batches, bits), tree), "kind")
     words, pairs = totals(counts, WORDS), totals(counts, PAIRS)
     answers = counts.select("batch", "kind", "shard", "overall", "first")
-    weights = weighted(context_asks(answered(batches, answers, "kind", "overall", "first"), bits, words, pairs))
+    weights = weighted(context_asks(answered(batches, answers, "kind", "overall", "first"), bits, words, pairs), tree)
     everything = answers.select("batch", "kind", "shard", "overall", F.lit(None).cast("binary").alias("weight")).unionByName(weights)
     discounts = pairs.discounts()
 

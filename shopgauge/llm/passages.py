@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopgauge.llm.packed import answered, batched, cut_by_shard, packed, shard_bits, unpacked
+from shopgauge.llm.packed import FAN, FAN_BITS, Asked, answered, batched, cut_by_shard, exchanged, packed, shard_bits, unpacked
 from shopgauge.llm.shared import whole_text
 from shopgauge.llm.words import SAME, shingles, text_bytes, word_hashes
 
@@ -61,7 +61,12 @@ def asks(batches: DataFrame, width: int, bits: int) -> DataFrame:
     return batches.select("batch", "doc_id", "text").mapInArrow(ask, "shard long, batch long, n long, keys binary, least binary")
 
 
-def confirmed(questions: DataFrame) -> DataFrame:
+def _share(own: dict, place: np.ndarray, first: np.ndarray, merged: dict, answers: dict) -> dict[str, np.ndarray]:
+    """A smaller id has the window elsewhere if the merged batches were told so, or one of them has a smaller id."""
+    return {"earlier": answers["earlier"][place] | (merged["least"][place] < own["least"])}
+
+
+def confirmed(questions: DataFrame, bits: int, batches: int, fan_bits: int = FAN_BITS, fan: int = FAN) -> DataFrame:
     """For each batch and shard one bit per window: whether a document of a smaller id in another batch has it."""
 
     def answer(table: pa.Table) -> pa.Table:
@@ -74,9 +79,10 @@ def confirmed(questions: DataFrame) -> DataFrame:
         earlier = np.empty(len(keys), bool)
         earlier[order] = overall < least[order]
         parts = np.split(earlier, np.cumsum(counts)[:-1])
-        return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "earlier": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+        return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "n": table.column("n"), "earlier": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
 
-    return questions.groupBy("shard").applyInArrow(answer, "batch long, shard long, earlier binary")
+    asked = Asked({"least": (np.int64, np.minimum)}, {"earlier": bool}, _share)
+    return exchanged(questions, ["shard"], asked, answer, "batch long, shard long, n long, earlier binary", bits, batches, min(bits, fan_bits), fan_bits, fan)
 
 
 def located(words: np.ndarray, of: np.ndarray, keys: np.ndarray, doc: np.ndarray, ids: np.ndarray, earlier: np.ndarray, width: int) -> np.ndarray:
@@ -117,7 +123,7 @@ def located(words: np.ndarray, of: np.ndarray, keys: np.ndarray, doc: np.ndarray
     return gone
 
 
-def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 13, batch_bytes: int = 4 << 20, per_shard: int = 1 << 21, fan_bits: int = FAN_BITS, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: one row per document.
 
     Words go that a window of `width` words covers whose words, unchanged, also begin somewhere in a document with a
@@ -125,9 +131,10 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     null id comes after all others, rows with the same id spare each other, and an empty table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    batches, size = batched(rows)
-    bits = shard_bits(size // 6)
-    replies = confirmed(asks(batches, width, bits))
+    batches, size = batched(rows, batch_bytes)
+    every = shard_bits(size // 6, per_shard)
+    bits = min(every, fan_bits)  # by which a batch cuts its windows
+    replies = confirmed(asks(batches, width, bits), every, -(-size // batch_bytes), fan_bits, fan)
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

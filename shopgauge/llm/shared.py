@@ -14,10 +14,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one named in spark.checkpoint.dir; where that is unset, as in tests, one is made up once."""
+    """A new folder below the one named in spark.checkpoint.dir.
+
+    Where that is unset, one is set for the session: a temporary folder where driver and tasks share a machine, as in
+    tests, and on a cluster a folder in the warehouse, which all executors share.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        master = spark.conf.get("spark.master", "")
+        one_machine = master.startswith("local") and not master.startswith("local-cluster")
+        root = f"file://{tempfile.mkdtemp(prefix='shared-')}" if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
