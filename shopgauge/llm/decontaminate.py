@@ -102,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
 
     Null texts and items without words match nothing. An item of fewer than five words is one shingle, and so is each
     window of its length: it matches documents that hold just its words in order. A document shorter than an item is one window. Repeated rows and repeated ids with equal text give one row per item; ties
-    between windows go to the first. Empty tables give no row.
+    between windows go to the first. A very long text has a row per
+    word while it is searched. Empty tables give no row.
     """
     every = stored(benchmark_items(benchmark, s))
     items = every.where(F.col("n_words") >= s.words)

@@ -249,7 +249,8 @@ def scores(docs: DataFrame, held_out: int = 2, divisor: int = 7, batch_bytes: in
     The model learns from the rows whose id's crc32 leaves another remainder than `held_out`. A pair of words that
     occurs has its discounted share of its context, any other the context's weight times its word's probability; words
     that never occur share one class. Null and empty texts are an end alone, a null id counts as an empty text,
-    repeated rows count each, and without training rows every score is 0.
+    repeated rows count each, and without training rows every score is 0. A very long text is a batch of its own, with some
+    numbers per word in memory; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_remainder(divisor) == held_out).alias("held_out"), whole_text().alias("text"))
     batches, size = batched(rows, batch_bytes)

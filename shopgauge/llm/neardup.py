@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     component_id is the smallest id reachable over links; null ids link but never name a component, unless all its ids
     are null. kept: the row has the component's id; rows repeated with that id are all kept, as they are the same
-    document. A document without words is linked with nothing. An empty table gives no rows.
+    document. A document without words is linked with nothing. A very long text is one set, hashed whole in memory. An empty table gives no rows.
     """
     rows = stored(sketches(docs, s))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *KEYS))

@@ -128,7 +128,7 @@ def without_repeats(docs: DataFrame, width: int = 13, batch_bytes: int = 4 << 20
 
     Words go that a window of `width` words covers whose words, unchanged, also begin somewhere in a document with a
     smaller id; windows are judged on the input. The kept words are joined by one space. Null texts have no words, a
-    null id comes after all others, rows with the same id spare each other, and an empty table gives no row.
+    null id comes after all others, rows with the same id spare each other, a very long text is a batch of its own, and an empty table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     batches, size = batched(rows, batch_bytes)

@@ -411,7 +411,8 @@ def found_spans(docs: DataFrame, patterns: DataFrame, s: Settings = Settings())
 
     Null texts are empty and have no span; repeated rows have the same; an identifier read as several kinds gets the
     first. What follows or precedes a trusted pattern and looks like an identifier is a span of its kind.
-    Rows ask about the contexts of their identifiers, and the join with the patterns answers.
+    Rows ask about the contexts of their identifiers, and the join with the patterns answers. A very long text is searched
+    whole, with what it asks in one row; an empty table gives no rows.
     """
     bits = sieve(patterns)
 

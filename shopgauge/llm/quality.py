@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings(), threshol
     """doc_id, held_out, score, predicted for every row; an empty or null text has the score of the constant alone.
 
     Repeated rows get the same score, a null id counts as an empty text when rows are held out, and without any
-    labelled row every score is 0.5.
+    labelled row every score is 0.5. A very long text is scored whole; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits + 1 numbers
 
