@@ -13,11 +13,12 @@ def _four_steps(n: int) -> int:
 
 
 def crc32(text: str) -> str:
-    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, four bits at a time, the lower half of each byte first."""
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, two steps of four bits for each byte."""
     table = f"[{', '.join(str(_four_steps(n)) for n in range(16))}]"
-    digits = f"hex({text})"
-    halves = f"list_transform(range(len({digits})), lambda i: strpos('0123456789ABCDEF', {digits}[i + 2 - 2 * (i % 2)]) - 1)"
-    return f"xor(list_reduce({halves}, lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1]), 4294967295), 4294967295)"
+    digit = "(strpos('0123456789ABCDEF', d[{}]) - 1)".format
+    values = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda d: 16 * {digit(1)} + {digit(2)})"
+    one = f"xor(xor(c, x) >> 4, {table}[(xor(c, x) & 15) + 1])"
+    return f"xor(list_reduce({values}, lambda c, x: xor({one} >> 4, {table}[({one} & 15) + 1]), 4294967295), 4294967295)"
 
 
 def _folded(text: str) -> str:
@@ -26,6 +27,25 @@ def _folded(text: str) -> str:
     return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def curve_steps(source: str, bits: int = 8) -> str:
+    """Nested SELECTs that turn the axes x0, x1, x2 of `source` into the curve index, one bit of one axis at a time."""
+    found = source
+    for bit in range(bits - 1, 0, -1):
+        low = (1 << bit) - 1
+        for i in range(3):
+            is_set, swap = f"(x{i} & {1 << bit}) != 0", f"(xor(x0, x{i}) & {low})"
+            columns = f"CASE WHEN {is_set} THEN xor(x0, {low}) ELSE xor(x0, {swap}) END AS x0"
+            columns += f", CASE WHEN {is_set} THEN x{i} ELSE xor(x{i}, {swap}) END AS x{i}" if i else ""
+            found = f"(SELECT * REPLACE ({columns}) FROM {found})"
+    found = f"(SELECT * REPLACE (xor(x1, x0) AS x1, xor(xor(x2, x1), x0) AS x2) FROM {found})"
+    flip = "0"
+    for bit in range(1, bits):
+        flip = f"xor({flip}, CASE WHEN (x2 & {1 << bit}) != 0 THEN {(1 << bit) - 1} ELSE 0 END)"
+    found = f"(SELECT *, {flip} AS flip FROM {found})"
+    parts = [f"(((xor(x{i}, flip) >> {bit}) & 1) << {3 * bit + 2 - i})" for bit in range(bits) for i in range(3)]
+    return f"SELECT * EXCLUDE (x0, x1, x2, flip), {' + '.join(parts)} AS curve FROM {found}"
+
+
 PAIRED = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
 
 ORACLE: dict[str, str] = {
@@ -143,6 +163,26 @@ UNION ALL
 SELECT doc_id, item_id, min(p)::INTEGER - 1, any_value(len(b.w))::INTEGER, 1::DOUBLE
 FROM bench b JOIN texts ON len(b.w) BETWEEN 1 AND 4, unnest(range(1, len(texts.w) - len(b.w) + 2)) AS t(p)
 WHERE texts.w[p:p + len(b.w) - 1] = b.w GROUP BY doc_id, item_id
+""",
+    "op8_hilbert": f"""
+WITH langs AS (
+  SELECT lang, (row_number() OVER (ORDER BY lang NULLS FIRST) - 1) * 256 // count(*) OVER () AS step FROM (SELECT DISTINCT lang FROM documents)
+), sources AS (
+  SELECT source, (row_number() OVER (ORDER BY source NULLS FIRST) - 1) * 256 // count(*) OVER () AS step FROM (SELECT DISTINCT source FROM documents)
+), sized AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size, length(bin(strlen(coalesce(text, '')) + 8)) AS bits FROM documents
+), axes AS (
+  SELECT doc_id, size, {crc32("text")} AS text_crc32, md5(coalesce(doc_id::VARCHAR, '') || ':' || text) AS place,
+         langs.step::BIGINT AS x0, sources.step::BIGINT AS x1, least((bits - 1) * 4 + (((size << 2) >> (bits - 1)::INT) & 3), 255)::BIGINT AS x2
+  FROM sized JOIN langs ON langs.lang IS NOT DISTINCT FROM sized.lang JOIN sources ON sources.source IS NOT DISTINCT FROM sized.source
+), placed AS (
+  {curve_steps("axes")}
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY curve, place, doc_id) - 1 AS r, count(*) OVER () AS n FROM placed
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, curve::BIGINT AS curve, (r * 24 // n)::INTEGER AS shard,
+       r - ((r * 24 // n) * n + 23) // 24 AS slot, NULL::INTEGER AS grown_shard
+FROM ranked
 """,
     "op11_arrow_resampling": f"""
 WITH docs AS (

@@ -78,7 +78,7 @@ def test_all_queries_are_registered():
 
 def test_queries_agree_with_their_sql(spark):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, statement in ORACLE.items():
         theirs = con.execute(statement)
