@@ -12,6 +12,7 @@ from shopgauge.config import PRESET_V1, PRESET_V2, CategoryRules, CostBucket, Co
 from shopgauge.plans import viewsql
 from shopgauge.plans.benchmark import Benchmark
 from shopgauge.plans.catalog import list_views, view_frames
+from shopgauge.sources import layout
 from shopgauge.sources.layout import KEYS, buckets_for, lay_out
 from tests.conftest import costs_frame
 from tests.test_plans import plan
@@ -111,3 +112,23 @@ def test_laid_out_tables_leave_the_catalog(spark, messy, tmp_path):
     assert spark.catalog.tableExists("gone_sales_lines")
     facts.drop()
     assert not spark.catalog.tableExists("gone_sales_lines") and not spark.catalog.tableExists("gone_cost_rows")
+
+
+def test_a_hot_month_of_a_store_is_written_by_several_tasks(spark, messy, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "ROWS_PER_TASK", 1000, raising=False)
+    rows = 16_000
+    dated = spark.range(0, rows, 1, 4).selectExpr("id", "CASE WHEN id % 8 = 0 THEN DATE'2024-10-03' ELSE DATE'2024-09-07' END AS day", "IF(id % 8 = 1, 5, 14) AS store", "md5(CAST(id AS STRING)) AS text")
+    sales = dated.selectExpr("day", "store", "id", "text", *[f"CAST(id % {n} AS DECIMAL(19,4))" for n in (1000, 900, 90)], "CAST(id % 7 AS INT)").toDF(*messy.sales.columns)
+    costs = dated.selectExpr("day", "store", "'Rosenheim'", "'Monthly Rent ' || text", "CAST(id % 1000 AS DECIMAL(19,4))").toDF(*messy.costs.columns)
+    given = Benchmark(type(messy)(**{**vars(messy), "sales": sales, "costs": costs}), PRESET_V2)
+    facts = lay_out(given, str(tmp_path), f"hot_{uuid.uuid4().hex[:8]}_", buckets=3)
+    for frame in (facts.lines, facts.costs):
+        task = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+        written = [r["count"] for r in frame.groupBy(task.alias("task")).count().collect()]
+        assert sum(written) == rows and max(written) <= 1200 and len(written) <= rows / 1000 + 3, written
+        files = frame.select("_metadata.file_name", F.pmod(F.hash(*KEYS), F.lit(3)).alias("bucket")).distinct()
+        assert files.count() == len(written), "a task writes to one bucket"
+    for layer in ("category_sums", "detail_sums", "export_v2"):
+        got, wanted = getattr(Benchmark(facts, PRESET_V2), layer), getattr(given, layer)
+        assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty(), layer
+    facts.drop()
